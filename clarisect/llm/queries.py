@@ -1,8 +1,12 @@
 """Queries of this subpackage for the driver."""
 
 from .blocknames import OP8_SQL, op8_exact_dedup
+from .mixing import op1_mixing
+from .sharding import op6_sharding
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op6_sharding": op6_sharding,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
