@@ -1,14 +1,19 @@
 """Queries of this subpackage for the driver."""
 
 from .blocknames import OP8_SQL, op8_exact_dedup
+from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import op1_mixing
 from .sharding import op6_sharding
+from .tokencount import op9_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op6_sharding": op6_sharding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
+    "op10_decontamination": OP10_SQL,
 }

@@ -119,21 +119,56 @@ def word_table(data: np.ndarray, ends: np.ndarray, alnum: bool = False) -> tuple
     return hashes, lo, hi, np.searchsorted(ends, lo, side="right")
 
 
-def sliced(texts, limit: int = SLICE_BYTES):
-    """Consecutive runs of texts (bytes) of about ``limit`` bytes: (first number, bytes array, ends)."""
-    first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        if held and size + len(t) > limit:
-            yield first, np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held])
-            first, held, size = i, [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield first, np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held])
-
-
 def text_bytes(column) -> list[bytes]:
     """A PyArrow string column as UTF-8 bytes; null counts as empty."""
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: A longer text is hashed in parts, cut where a word ends.
+LONG_TEXT = 4 << 20
+
+
+def _parts(text: bytes, alnum: bool):
+    """Parts of a long text that no word crosses."""
+    at = 0
+    while len(text) - at > LONG_TEXT:
+        end = at + LONG_TEXT
+        while True:
+            found = np.flatnonzero(~_ALNUM[_LOWER[np.frombuffer(text[at:end], np.uint8)]] if alnum else _SPACE[np.frombuffer(text[at:end], np.uint8)])
+            if len(found) or end >= len(text):
+                break
+            end += LONG_TEXT
+        end = at + int(found[-1]) + 1 if len(found) else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def hashed_words(texts: list[bytes], alnum: bool = False):
+    """Runs of texts as (number of the first, how many words each has, the words' hashes one after another)."""
+    def run(first, held):
+        data = np.frombuffer(b"".join(held), np.uint8)
+        hashes, _, _, owner = word_table(data, np.cumsum([len(x) for x in held]), alnum)
+        return first, np.bincount(owner, minlength=len(held)), hashes
+
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        if held and size + len(t) > SLICE_BYTES:
+            yield run(first, held)
+            held, size = [], 0
+        if not held:
+            first = i
+        if len(t) > LONG_TEXT:
+            if held:
+                yield run(first, held)
+                held, size = [], 0
+            parts = [run(0, [part])[2] for part in _parts(t, alnum)]
+            hashes = np.concatenate(parts)
+            yield i, np.array([len(hashes)]), hashes
+            continue
+        held.append(t)
+        size += len(t)
+    if held:
+        yield run(first, held)
