@@ -14,7 +14,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 REPEATS = 2
 #: Documents in one sorted piece of a source's shuffled stream, and slots in one ranked piece of the schedule.
-PIECE_DOCS = 20_000
+PIECE_DOCS = 2_000
 PIECE_SLOTS = 1 << 16
 #: Tables of sources up to this many rows are broadcast, larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
@@ -111,11 +111,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = fill(sizes, [weights[i % len(weights)] for i in range(len(found))], budget * sum(sizes), repeats)
     takes = [min(int(round(t)), repeats * s) for t, s in zip(targets, sizes)]
     sources = _small(spark.createDataFrame(
-        [(r["unnamed"], r["name"], i, s, t, k, max(1, -(-s // block_words))) for i, (r, s, t, k) in enumerate(zip(found, sizes, targets, takes))],
-        "unnamed boolean, name string, src int, source_size long, target double, take long, blocks long",
+        [(r["unnamed"], r["name"], i, s, t, k, max(1, -(-s // block_words)), -(-r["n"] // PIECE_DOCS)) for i, (r, s, t, k) in enumerate(zip(found, sizes, targets, takes))],
+        "unnamed boolean, name string, src int, source_size long, target double, take long, blocks long, buckets long",
     ), len(found))
-    buckets = max(1, sum(r["n"] for r in found) // PIECE_DOCS)
-    streams = keyed.join(sources.select("unnamed", "name", "src"), ["unnamed", "name"]).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    streams = keyed.join(sources.select("unnamed", "name", "src", "buckets"), ["unnamed", "name"]).withColumn("bucket", F.pmod("h", "buckets"))
     sums = streams.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     starts = scratch.put(sums.select("src", "bucket", (F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before")), "starts")
     order = Window.partitionBy("src", "bucket").orderBy("h", f"c_{id_col}", "size")
@@ -130,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epoch = F.expr("rank div blocks")
     slots = (
         schedule(spark, [float(t) for t in takes], sizes, block_words, scratch)
-        .join(sources.drop("unnamed", "name"), "src")
+        .join(sources.drop("unnamed", "name", "buckets"), "src")
         .withColumn("block", F.col("rank") % F.col("blocks"))
         .withColumn("words", F.greatest(F.lit(0), F.least(size_of, F.col("take") - epoch * F.col("source_size") - F.col("block") * block_words)))
         .where("words > 0")
