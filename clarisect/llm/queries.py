@@ -3,11 +3,13 @@
 from .blocknames import OP8_SQL, op8_exact_dedup
 from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import op1_mixing
+from .quality import op4_quality
 from .sharding import op6_sharding
 from .tokencount import op9_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_quality": op4_quality,
     "op6_sharding": op6_sharding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
