@@ -5,11 +5,13 @@ from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import op1_mixing
 from .quality import op4_quality
 from .sharding import op6_sharding
+from .suffixtree import op5_suffix_tree_scores
 from .tokencount import op9_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_quality": op4_quality,
+    "op5_suffix_tree_scores": op5_suffix_tree_scores,
     "op6_sharding": op6_sharding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
