@@ -3,6 +3,7 @@
 from .blocknames import OP8_SQL, op8_exact_dedup
 from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import op1_mixing
+from .personal import op2_personal_data
 from .quality import op4_quality
 from .sharding import op6_sharding
 from .suffixtree import op5_suffix_tree_scores
@@ -10,6 +11,7 @@ from .tokencount import op9_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_personal_data": op2_personal_data,
     "op4_quality": op4_quality,
     "op5_suffix_tree_scores": op5_suffix_tree_scores,
     "op6_sharding": op6_sharding,
