@@ -5,6 +5,7 @@ from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import op1_mixing
 from .personal import op2_personal_data
 from .quality import op4_quality
+from .repeats import op7_repeats
 from .sharding import op6_sharding
 from .suffixtree import op5_suffix_tree_scores
 from .tokencount import op9_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_suffix_tree_scores": op5_suffix_tree_scores,
     "op6_sharding": op6_sharding,
+    "op7_repeats": op7_repeats,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
