@@ -162,7 +162,8 @@ def _part_keys(texts: DataFrame, k: int, similarity: int) -> DataFrame:
     """Names of the parts of each set, such that two similar sets have an equal part.
 
     Sets of n and m shingles that link differ in at most (n + m) * (100 - s) / (100 + s) of them. At a size
-    level that number has a bound; dealt by hash into more parts than that, the two sets agree on one.
+    level that number has a bound; dealt by hash into more parts than that, the two sets agree on one. A set
+    with more filled parts than the bound agrees on a filled one; only others need their empty parts named.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -180,12 +181,15 @@ def _part_keys(texts: DataFrame, k: int, similarity: int) -> DataFrame:
                     own += 1
                 for level in (own, own + 1):
                     most = int(step ** (level + 1)) + 1
-                    parts = 2 * most * (100 - similarity) // (100 + similarity) + 1
+                    differ = 2 * most * (100 - similarity) // (100 + similarity)
+                    parts = differ + differ // 8 + 3
                     part = (value % np.uint64(parts)).astype(np.int64)
                     sums = np.zeros(parts, np.uint64)
                     np.add.at(sums, part, mix64(value ^ _PLACE[62]))
                     name = mix64(mix64(sums ^ np.uint64(level)) + np.arange(parts, dtype=np.uint64) * _PLACE[63])
-                    rids.append(np.full(parts, rid))
+                    filled = np.bincount(part, minlength=parts) > 0
+                    name = name[filled] if filled.sum() > differ else name
+                    rids.append(np.full(len(name), rid))
                     keys.append(name.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids) if rids else np.zeros(0), pa.int64()), pa.array(np.concatenate(keys) if keys else np.zeros(0), pa.int64())], names=["rid", "tok"])
 
