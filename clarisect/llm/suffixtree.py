@@ -292,7 +292,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = {r["kind"]: (r["kinds"], r["n"]) for r in counts.groupBy("kind").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()}
     (kinds, tokens), trained = sums.get(WORDS, (0, 0)), sums.get(TEXTS, (0, 0))[1]
     words = counts.where(F.col("kind") == WORDS).select(F.col("key").alias("word"), "n")
-    head = words.where("n > 1").orderBy(F.desc("n"), "word").limit(head_words).toArrow()
+    # the least count at which the repeated words still fit the head
+    least, fit = 2, 0
+    for r in words.where("n > 1").groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        if fit + r["c"] > head_words:
+            least = r["n"] + 1
+            break
+        fit += r["c"]
+    head = words.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     known = head.column("n").to_numpy().astype(np.float64)
     alphabet = Alphabet(head.column("word").to_numpy().astype(np.uint64), known, tokens - int(known.sum()), kinds - len(known))
     tree = SuffixTree.grow(_levels(scratch.put(_count_grams(training, alphabet), "grams"), scratch))
