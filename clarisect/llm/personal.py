@@ -16,7 +16,7 @@ from .trees import Boosted, boost, sigmoid
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("email_spelled", "card_spaced", "phone_local", "ssn", "iban")
 KINDS = BASE_KINDS + MORE_KINDS
-#: Rows the fit may see: documents with digits or an at sign, those with the smallest hash of their text; and made-up examples of each kind.
+#: Rows the fit sees at most, about: documents with digits or an at sign; and made-up examples of each kind.
 FIT_TEXTS, FIT_MADE = 2_000, 400
 #: Precision that a kind's threshold must reach on examples the trees have not seen.
 PRECISION = 0.98
@@ -211,14 +211,16 @@ class SpanModel:
 
 
 def fit_spans(docs: DataFrame, text_col: str = "text", texts: int = FIT_TEXTS, made: int = FIT_MADE, part: int = 4096) -> SpanModel:
-    """Fits on a bounded sample: up to ``texts`` stretches of ``part`` characters around a first digit or at sign."""
+    """Fits on a sample of about ``texts`` stretches of ``part`` characters around a first digit or at sign.
+
+    The rows are those whose text hash falls under a cut-off set by their number, so no task sends more than its
+    share of the sample.
+    """
     at = F.regexp_instr(text_col, F.lit("[0-9@]"))
-    chosen = (
-        docs.where(F.col(text_col).rlike("[0-9@]"))
-        .select(F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), F.greatest(F.lit(1), at - 200), F.lit(part)).alias("t"))
-        .orderBy("h", "t").limit(texts)
-    )
-    return SpanModel.fit([r["t"] for r in chosen.collect()], made)
+    some = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), F.greatest(F.lit(1), at - 200), F.lit(part)).alias("t"))
+    share = min(1.0, texts / max(1, some.count()))
+    chosen = some.where(F.shiftrightunsigned("h", 11) < F.lit(int(share * 2**53)))
+    return SpanModel.fit([r["t"] for r in sorted(chosen.collect(), key=lambda r: (r["h"], r["t"]))], made)
 
 
 def find_personal(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
