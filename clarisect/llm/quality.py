@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .trees import Node, boost, sigmoid
 
-#: Rows of labels that the fit may use; the sample is the rows with the smallest hash of their id.
+#: Rows of labels that the fit may use, about.
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
 #: Trees grown for rules, their depth, and the penalties tried, largest first.
@@ -156,14 +156,15 @@ def held_out(id_col: str) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> RuleEnsemble:
-    """Fits on at most ``rows`` labelled documents that are not held out."""
-    chosen = (
+    """Fits on about ``rows`` labelled documents at most that are not held out, chosen by a cut-off of their id's hash."""
+    usable = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
-        .orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
     )
+    share = min(1.0, rows / max(1, usable.count()))
+    chosen = usable.where(F.shiftrightunsigned(F.xxhash64("__id"), 11) < F.lit(int(share * 2**53)))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    found = with_statistics(texts.join(F.broadcast(chosen), "__id"), "text").select(*[f"__{n}" for n in NAMES], "__y").toArrow()  # the limit bounds the broadcast
+    found = with_statistics(texts.join(F.broadcast(chosen), "__id"), "text").select(*[f"__{n}" for n in NAMES], "__y").toArrow()  # the sample's size bounds the broadcast
     x = np.stack([found.column(f"__{n}").to_numpy() for n in NAMES], axis=1) if found.num_rows else np.zeros((0, len(NAMES)))
     y = found.column("__y").to_numpy() if found.num_rows else np.zeros(0)
     order = np.lexsort([*x.T, y])
