@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hashed_words, mix64, text_bytes
+from .shared import Scratch, hashed_words, mix64, row_number, text_bytes
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -215,7 +215,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngramjoin")
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(row_number(spark).alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     weights = _sketch(texts, k, scratch)
     profiles = scratch.put(_profiles(texts, weights, k, similarity), "profiles")
     classes = scratch.put(profiles.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _BYTE, _STEP, _STEP_INVERSE, Scratch, mix64, powers, text_bytes
+from .shared import Scratch, _BYTE, _STEP, _STEP_INVERSE, mix64, powers, row_number, text_bytes
 
 LENGTH = 400
 GRAM = 200
@@ -177,7 +177,8 @@ def repeated_starts(rows: DataFrame, scratch: Scratch, length: int, gram: int, p
     anchors = scratch.put(_anchors(rows, length, gram, part), "anchors")
     inside = anchors.select("rid", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("rid", "r.lo", "r.hi")
     every = anchors.select("rid", F.explode(F.arrays_zip("p", "x", "more", "hk", "hu")).alias("a")).select("rid", "a.*")
-    often = every.groupBy("hk").agg(F.count("*").alias("c")).where("c > 1").select("hk")
+    # counts are written before they are joined, so that both sides of a join are dealt anew and hot keys can be split
+    often = scratch.put(every.groupBy("hk").agg(F.count("*").alias("c")).where("c > 1").select("hk"), "often")
     candidates = scratch.put(every.join(often, "hk", "left_semi"), "candidates")
     groups = scratch.put(candidates.groupBy("hk", "hu").agg(F.count("*").alias("n"), F.min(F.struct("rid", "p", "x", "more")).alias("r")), "groups")
     alike = candidates.join(groups.where("n > 1").select("hk", "hu"), ["hk", "hu"], "left_semi").select("rid", F.col("p").alias("lo"), (F.col("p") + F.col("more")).alias("hi"))
@@ -187,8 +188,8 @@ def repeated_starts(rows: DataFrame, scratch: Scratch, length: int, gram: int, p
     contexts = scratch.put(_contexts(rows.join(by_text, "rid").select("rid", "text", "runs"), length), "contexts")
 
     nodes = scratch.put(_nodes(contexts, length, NODE, False), "nodes")
-    shared = nodes.groupBy("hk", "node", "core").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    equal = nodes.where("union is not null").groupBy("hk", "node", "union").agg(F.count("*").alias("c")).where("c > 1").drop("c").withColumn("settled", F.lit(True))
+    shared = scratch.put(nodes.groupBy("hk", "node", "core").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "shared")
+    equal = scratch.put(nodes.where("union is not null").groupBy("hk", "node", "union").agg(F.count("*").alias("c")).where("c > 1").drop("c").withColumn("settled", F.lit(True)), "equal")
     judged = scratch.put(nodes.drop("open").join(shared, ["hk", "node", "core"], "left_semi").join(equal, ["hk", "node", "union"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)) | (F.col("n") > 1)), "judged")
     settled = judged.where("settled and n = 1").select(
         "rid", (F.col("p") + F.col("x") - F.least(F.col("node") + NODE - 1, F.col("x"))).alias("lo"),
@@ -201,7 +202,7 @@ def repeated_starts(rows: DataFrame, scratch: Scratch, length: int, gram: int, p
     partners = partners.unionByName(again.where("settled and union is null").select("rid", "p", "node", F.lit(False).alias("open"))).unionByName(again.where("not settled").select("rid", "p", "node", F.lit(True).alias("open")))
     parts = partners.groupBy("rid", "p").agg(F.collect_list(F.struct("node", "open")).alias("parts"))
     single = scratch.put(_nodes(contexts.join(parts, ["rid", "p"]), length, 1, True), "single")
-    twice = single.groupBy("hk", "node", "core").agg(F.count("*").alias("c")).where("c > 1").select("hk", "node", "core")
+    twice = scratch.put(single.groupBy("hk", "node", "core").agg(F.count("*").alias("c")).where("c > 1").select("hk", "node", "core"), "twice")
     start = F.col("p") + F.col("x") - F.col("node")
     one = single.where("open").join(twice, ["hk", "node", "core"], "left_semi").select("rid", start.alias("lo"), start.alias("hi"))
     return inside.unionByName(alike).unionByName(settled).unionByName(one)
@@ -219,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     gram = gram or max(1, length // 2)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    rows = docs.select(row_number(spark).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     ranges = repeated_starts(rows.select("rid", "text"), scratch, length, gram, part)
     per_text = scratch.put(ranges.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     kind = docs.schema[id_col].dataType.simpleString()

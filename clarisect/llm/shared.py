@@ -46,6 +46,18 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def row_number(spark: SparkSession) -> Column:
+    """A number for each row of a table that comes out alike whenever the table is read.
+
+    Spark cuts a small table by the cores it has at the moment, so losing an executor would change the numbers
+    between two reads; the least number of partitions is therefore pinned for the session, unless it is set.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
