@@ -54,12 +54,13 @@ def _sketch(texts: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for _, sizes, words in hashed_words(text_bytes(batch.column(0))):
-                counts += np.bincount((shingles(sizes, words, k)[1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                bucket, n = np.unique(shingles(sizes, words, k)[1] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                counts[bucket] += n.astype(np.int32)
         often = np.flatnonzero(counts >= REPORT)
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often].astype(np.int64))], names=["bucket", "n"])
 
     found = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     rows = found.select("bucket", F.least(F.floor(F.log2("n")), F.lit(60)).cast("int").alias("w")).toArrow()  # at most one row a bucket

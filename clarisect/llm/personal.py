@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import bounded_batches, text_or_empty
 from .trees import Boosted, boost, sigmoid
 
 # The base kinds in the order that breaks ties, and the kinds that only the model adds.
@@ -231,6 +231,7 @@ def find_personal(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", tex
     empty and has none; null ids and repeated rows are ordinary; an empty table gives an empty result; further
     columns are not returned.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:

@@ -21,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at once; Spark's own limit is eight times as much.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the memory of Python workers small, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("", "67108864b"):
+        spark.conf.set(key, f"{BATCH}b")
+
+
 class Scratch:
     """Written intermediate tables: they cut lineage and survive the loss of any executor."""
 
@@ -28,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        bounded_batches(spark)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` as Parquet and read it back."""

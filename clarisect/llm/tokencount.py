@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_or_empty
+from .shared import bounded_batches, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -77,6 +77,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has no tokens; null ids and repeated rows are ordinary; an empty table gives an empty result; further
     columns are not returned. ``tokenizer`` is a path or a name known to ``public_tokenizers``.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
