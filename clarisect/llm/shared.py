@@ -28,7 +28,7 @@ BATCH = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps the memory of Python workers small, however long the texts are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("", "67108864b"):
+    if spark.conf.get(key, "67108864b") == "67108864b":
         spark.conf.set(key, f"{BATCH}b")
 
 
