@@ -262,7 +262,10 @@ def find_splits_sampled(spark, sf_dir):
 
 # ---- bins and their statistics
 
-@query(sql("SELECT l_orderkey, l_linenumber, y AS cluster_id, list(bin ORDER BY feature) AS bins FROM b GROUP BY ALL"))
+_BINS = ", ".join(f"len(list_filter({l}, lambda x: x < f{f}))::INT" for f, l in _T.items())
+
+
+@query(sql(f"SELECT l_orderkey, l_linenumber, y AS cluster_id, [{_BINS}] AS bins FROM lab"))
 def bin_assign_instances(spark, sf_dir):
     return binned(spark, sf_dir).select(*KEY, "cluster_id", "bins")
 
@@ -573,7 +576,7 @@ def best_surrogate_cut(spark, sf_dir):
 
 
 @query(tree_sql(SUR + f""", pre AS (SELECT leaf::BIGINT AS leaf_id, least({_PRE})::DOUBLE AS pre FROM (SELECT leaf, count(*) AS n, sum(d[1]) AS s0, sum(d[2]) AS s1, sum(d[3]) AS s2, sum(d[4]) AS s3 FROM dots GROUP BY leaf)),
-one AS (SELECT * FROM costed JOIN pre USING (leaf_id) JOIN per ON per.leaf = leaf_id WHERE mistakes > 0 ORDER BY cost - pre, leaf_id, cost, feature, threshold LIMIT 1),
+one AS (SELECT leaf_id, feature, threshold, center_left, center_right FROM costed JOIN pre USING (leaf_id) JOIN per ON per.leaf = leaf_id WHERE mistakes > 0 ORDER BY cost - pre, leaf_id, cost, feature, threshold LIMIT 1),
 placed AS (SELECT y, CASE WHEN leaf <> leaf_id THEN leaf WHEN [f0, f1, f2, f3][feature + 1] <= threshold THEN 2 * leaf + 1 ELSE 2 * leaf + 2 END AS leaf,
   CASE WHEN leaf <> leaf_id THEN leaf - 3 WHEN [f0, f1, f2, f3][feature + 1] <= threshold THEN center_left ELSE center_right END AS name FROM leafed, one)
 SELECT leaf::BIGINT AS node_id, name::INT AS leaf_cluster, count(*) AS samples, count_if(y <> name) AS mistakes FROM placed GROUP BY ALL"""))
