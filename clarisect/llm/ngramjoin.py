@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, hashed_words, mix64, row_number, text_bytes
@@ -17,8 +18,12 @@ SIMILARITY = 80
 BANDS, ROWS = 8, 3
 #: Bits of the sketch that tells frequent shingles, and the count in one task from which a bucket is reported.
 SKETCH_BITS, REPORT = 22, 8
+#: Entries of a document in the matrix beyond those that a link needs, in hundredths of its set.
+SPARE = 10
 #: Documents sharing a token up to which pairs are tried directly; beyond, they must also agree on a part.
 DIRECT = 64
+#: Bits that tell which texts a comparison needs; more texts than bits only make the filter idle.
+NEED_BITS = 24
 
 _RNG = np.random.default_rng(77)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,7 +104,7 @@ def _profiles(texts: DataFrame, weights: np.ndarray, k: int, similarity: int) ->
                 weight = weights[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 order = np.lexsort(((weight << np.uint64(56)) | (value >> np.uint64(8)), text))
                 own = count[have]
-                prefix = own - (similarity * own + 99) // 100 + 1
+                prefix = np.minimum(own, own - (similarity * own + 99) // 100 + 1 + SPARE * own // 100)
                 rank = np.arange(len(text)) - np.repeat(starts, own)
                 taken = rank < np.repeat(prefix, own)
                 tokens.append(value[order][taken].astype(np.int64))
@@ -115,8 +120,18 @@ def _profiles(texts: DataFrame, weights: np.ndarray, k: int, similarity: int) ->
 
 def _linked(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets are similar enough, compared in full."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    found = scratch.put(texts.select("rid", "text").join(need, "rid"), "texts")
+    need = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "need")
+    bit = F.pmod(F.xxhash64("rid"), F.lit(1 << NEED_BITS))
+    marks = np.zeros(1 << NEED_BITS, bool)
+    marks[need.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    packed = np.packbits(marks)
+
+    @F.pandas_udf("boolean")
+    def may_need(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy(np.int64)
+        return pd.Series((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    found = scratch.put(texts.select("rid", "text").where(may_need(bit)).join(need, "rid"), "texts")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -201,12 +216,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Joins documents whose sets of k-word shingles have at least the given Jaccard similarity, into components.
 
     Equal sets are one class, of which one row is compared. Bands of minima partition the classes into groups
-    of similar documents, linked to a leader after full comparison. The token-group matrix then holds, for each
-    group, the union of its members' rarest shingles with the members' sizes: two documents that link share one
-    of these, near the front of both orders. So a pair of groups without a common entry that the sizes and
-    places allow cannot link; the other groups are opened and their qualifying pairs compared in full. Where a
-    token is common to many documents of several groups, its pairs must also agree on one part of their sets,
-    which linked sets always do. No partners or candidates are dropped, so no link between groups is lost.
+    of similar documents, linked to a leader after full comparison. The token-group matrix holds the rarest
+    shingles of every document by group. A document that links outside its group finds all but a few of these
+    among the tokens of other groups; one that does not is closed, and so, step by step, are the groups that
+    only closed documents made look alike. Of the groups left open, tokens first offer one document each, and
+    links found merge groups; then all remaining pairs of documents of different groups that share a token,
+    near enough to the front of both orders, are compared in full. Where many documents share one, its pairs
+    must also agree on one part of their sets, which linked sets always do. No partners or candidates are
+    dropped, so no link between groups is lost.
 
     Returns ``doc_id, n_shingles, component_id``, one row per input row, plus ``rid`` to tell rows apart. Words
     are as in the contract of the query; A-Z count as a-z. A text without words, or null, has an empty set and
@@ -220,50 +237,85 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     weights = _sketch(texts, k, scratch)
     profiles = scratch.put(_profiles(texts, weights, k, similarity), "profiles")
     classes = scratch.put(profiles.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")
-    reps = scratch.put(profiles.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "bands", "prefix"), "reps")
+    reps = profiles.select("rid", "n", "bands", "prefix").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
 
     def close(n: str, m: str):
         return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
 
-    keyed = reps.select("rid", "n", F.explode("bands").alias("band"))
+    keyed = scratch.put(reps.select("rid", "n", F.explode("bands").alias("band")), "bands")
     leaders = scratch.put(keyed.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("band", F.col("l.rid").alias("a"), F.col("l.n").alias("m")), "leaders")
-    pairs = scratch.put(keyed.join(leaders, "band").where((F.col("a") != F.col("rid")) & close("n", "m")).select("a", F.col("rid").alias("b")).distinct(), "pairs")
-    links = scratch.put(_linked(texts, pairs, scratch, k, similarity), "links")
+    tried = scratch.put(keyed.join(leaders, "band").where((F.col("a") != F.col("rid")) & close("n", "m")).select("a", F.col("rid").alias("b")).distinct(), "pairs")
+    links = scratch.put(_linked(texts, tried, scratch, k, similarity), "links")
     groups = components(links, scratch)
 
-    grouped = reps.join(groups, reps["rid"] == groups["v"], "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp"), "prefix")
-    entries = scratch.put(grouped.select("rid", "n", "comp", F.posexplode("prefix").alias("i", "tok")), "entries")
-    matrix = entries.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c")).where("c1 < c2").select("tok", "c")
-    opened = scratch.put(entries.join(matrix, "tok"), "opened")
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(groups.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+
+    # a document that links misses at most n - needed of its own entries in the other one
+    needed = F.ceil(F.lit(similarity) * F.col("n") / F.lit(100) - F.lit(1e-9))
+    at_least = F.least(F.col("n"), F.col("n") - needed + 1 + F.expr(f"{SPARE} * n div 100")) - (F.col("n") - needed)
+    cell = Window.partitionBy("tok")
+    own = Window.partitionBy("rid")
+
+    def qualifying(rows: DataFrame) -> DataFrame:
+        """Entries shared with another group, of documents that have enough of them."""
+        crossed = rows.withColumn("c1", F.min("comp").over(cell)).withColumn("c2", F.max("comp").over(cell)).where("c1 < c2").drop("c1", "c2")
+        return crossed.withColumn("c", F.count("*").over(own)).where(F.col("c") >= at_least).drop("c")
+
+    entries = scratch.put(qualifying(labelled(reps.select("rid", "n", "prefix")).select("rid", "n", "comp", F.posexplode("prefix").alias("i", "tok"))), "entries")
+    # groups whose entries cannot add up to a link are closed, which may close others
+    size = entries.count()
+    while size:
+        entries, before = scratch.put(qualifying(labelled(entries.drop("comp")).select("rid", "n", "comp", "i", "tok")), "entries"), size
+        size = entries.count()
+        if size < before:
+            continue
+        # each token offers its first document to one of every other group; found links merge groups
+        first = entries.groupBy("tok").agg(F.min(F.struct("comp", "rid", "n")).alias("f"))
+        heads = scratch.put(entries.groupBy("tok", "comp").agg(F.min(F.struct("rid", "n")).alias("h")), "heads")
+        offered = heads.join(scratch.put(first, "first"), "tok").where(F.col("comp") != F.col("f.comp")).where(close("h.n", "f.n"))
+        pairs = offered.select(F.least("h.rid", "f.rid").alias("a"), F.greatest("h.rid", "f.rid").alias("b")).distinct()
+        fresh = scratch.put(pairs.join(tried, ["a", "b"], "left_anti"), "offered")
+        found = scratch.put(_linked(texts, fresh, scratch, k, similarity), "found")
+        tried = tried.unionByName(fresh)
+        if found.isEmpty():
+            break
+        links = scratch.put(links.unionByName(found), "links")
+        groups = components(links, scratch)
+    if size:
+        links = links.unionByName(_opened(texts, entries, tried, scratch, k, similarity))
+        groups = components(scratch.put(links, "links"), scratch)
+
+    named = classes.join(groups, classes["rep"] == groups["v"], "left").select("f1", "f2", "least", F.coalesce("comp", "rep").alias("comp"))
+    names = scratch.put(named.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
+    final = scratch.put(named.join(names, "comp").select("f1", "f2", "component_id"), "final")
+    linked = profiles.where("n > 0").join(final, ["f1", "f2"]).select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    empty = profiles.where("n = 0").select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return linked.unionByName(empty)
+
+
+def _opened(texts: DataFrame, entries: DataFrame, tried: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
+    """Links among all pairs of documents of different open groups that one cell brings together."""
+    sizes = scratch.put(entries.groupBy("tok").agg(F.count("*").alias("c")), "sizes")
+    cells = scratch.put(entries.join(sizes, "tok"), "cells")
 
     def candidates(cells: DataFrame, placed: bool) -> DataFrame:
-        """Pairs of documents of different groups in one cell of the matrix, if sizes (and places) allow a link."""
+        """Pairs that sizes (and places in both orders) allow to link."""
         one = cells.select("tok", F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("g1"), *([F.col("i").alias("i1")] if placed else []))
         two = cells.select("tok", F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("g2"), *([F.col("i").alias("i2")] if placed else []))
         least = F.ceil(F.lit(similarity) * (F.col("n1") + F.col("n2")) / F.lit(100 + similarity) - F.lit(1e-9))
-        fits = close("n1", "n2")
+        fits = 100 * F.least("n1", "n2") >= similarity * F.greatest("n1", "n2")
         if placed:
             fits = fits & (F.col("i1") <= F.col("n1") - least) & (F.col("i2") <= F.col("n2") - least)
         return one.join(two, "tok").where((F.col("a") < F.col("b")) & (F.col("g1") != F.col("g2")) & fits).select("a", "b").distinct()
 
-    tried = candidates(opened.where(F.col("c") <= DIRECT), True)
-    crowded = opened.where(F.col("c") > DIRECT).select("rid", "n", "comp").distinct()
+    pairs = candidates(cells.where(F.col("c") <= DIRECT), True)
+    crowded = scratch.put(cells.where(F.col("c") > DIRECT).select("rid", "n", "comp").distinct(), "crowded")
     if not crowded.isEmpty():
-        crowded = scratch.put(crowded, "crowded")
-        parts = scratch.put(_part_keys(texts.join(crowded.select("rid"), "rid", "left_semi"), k, similarity), "parts")
-        cells = parts.join(crowded, "rid")
-        mixed = cells.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tok")
-        tried = tried.unionByName(candidates(cells.join(mixed, "tok", "left_semi"), False)).distinct()
-    tried = scratch.put(tried, "tried")
-    more = _linked(texts, tried, scratch, k, similarity)
-    every = components(scratch.put(links.unionByName(more), "edges"), scratch)
-
-    named = classes.join(every, classes["rep"] == every["v"], "left").select("f1", "f2", "least", F.coalesce("comp", "rep").alias("comp"))
-    names = scratch.put(named.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
-    final = scratch.put(named.join(names, "comp").select("f1", "f2", "component_id"), "final")
-    linked = profiles.where("n > 0").join(final, ["f1", "f2"]).select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    empty = profiles.where("n = 0").select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.unionByName(empty)
+        parts = scratch.put(_part_keys(texts.join(crowded.select("rid"), "rid", "left_semi"), k, similarity).join(crowded, "rid"), "parts")
+        mixed = scratch.put(parts.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tok"), "mixed")
+        pairs = pairs.unionByName(candidates(parts.join(mixed, "tok", "left_semi"), False)).distinct()
+    return scratch.put(_linked(texts, scratch.put(pairs.join(tried, ["a", "b"], "left_anti"), "opened"), scratch, k, similarity), "more")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
