@@ -20,6 +20,8 @@ BANDS, ROWS = 8, 3
 SKETCH_BITS, REPORT = 22, 8
 #: Entries of a document in the matrix beyond those that a link needs, in hundredths of its set.
 SPARE = 10
+#: Ratio of the sizes of neighbouring size classes.
+SIZE_STEP = 1.05
 #: Documents sharing a token up to which pairs are tried directly; beyond, they must also agree on a part.
 DIRECT = 64
 #: Bits that tell which texts a comparison needs; more texts than bits only make the filter idle.
@@ -262,13 +264,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         crossed = rows.withColumn("c1", F.min("comp").over(cell)).withColumn("c2", F.max("comp").over(cell)).where("c1 < c2").drop("c1", "c2")
         return crossed.withColumn("c", F.count("*").over(own)).where(F.col("c") >= at_least).drop("c")
 
+    def sized(rows: DataFrame) -> DataFrame:
+        """Entries of documents that have enough of them among documents of some one size.
+
+        Sets of n and m shingles that link share at least P(n) - n + o and P(m) - m + o of their rarest P, with
+        o the least overlap of a link; within a class of sizes the first grows with m and the second falls.
+        """
+        level = F.floor(F.ln("n") / float(np.log(SIZE_STEP))).cast("int")
+        span = int(np.ceil(np.log(100 / similarity) / np.log(SIZE_STEP))) + 1
+        placed = rows.withColumn("level", level)
+        found = scratch.put(placed.groupBy("tok", "level").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).withColumnRenamed("level", "other"), "levels")
+        low, high = F.pow(F.lit(SIZE_STEP), F.col("other")), F.pow(F.lit(SIZE_STEP), F.col("other") + 1)
+        low = F.greatest(F.floor(low), F.floor(F.lit(similarity) * F.col("n") / 100))
+        share, spare = similarity / (100 + similarity), SPARE / 100
+        first = at_least + (F.floor(F.lit(share) * (F.col("n") + low)) - needed)
+        second = F.floor((1 - similarity / 100 + spare - 1 + share) * high + share * F.col("n")) - 2
+        met = placed.join(found, "tok").where((F.abs(F.col("other") - F.col("level")) <= span) & ((F.col("c1") != F.col("comp")) | (F.col("c2") != F.col("comp"))))
+        counts = met.groupBy("rid", "n", "other").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(first, second))
+        return rows.join(scratch.put(counts.select("rid").distinct(), "stay"), "rid", "left_semi")
+
     entries = scratch.put(qualifying(labelled(reps.select("rid", "n", "prefix")).select("rid", "n", "comp", F.posexplode("prefix").alias("i", "tok"))), "entries")
     # groups whose entries cannot add up to a link are closed, which may close others
     size = entries.count()
     while size:
-        entries, before = scratch.put(qualifying(labelled(entries.drop("comp")).select("rid", "n", "comp", "i", "tok")), "entries"), size
+        before, last = size, entries
+        entries = scratch.put(qualifying(sized(labelled(entries.drop("comp")).select("rid", "n", "comp", "i", "tok"))), "entries")
+        scratch.drop(last)
         size = entries.count()
-        if size < before:
+        if size < 0.8 * before:
             continue
         # each token offers its first document to one of every other group; found links merge groups
         first = entries.groupBy("tok").agg(F.min(F.struct("comp", "rid", "n")).alias("f"))
