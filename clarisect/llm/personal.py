@@ -203,7 +203,7 @@ class SpanModel:
             return base, base
         p = sigmoid(self.trees.decision(np.array([features(text, *c) for c in offered])))
         chosen = list(base)
-        for i in np.argsort(-p, kind="stable"):
+        for i in sorted(range(len(p)), key=lambda i: (offered[i][0] == "phone_local", -p[i], i)):  # the loosest pattern last
             kind, b, e, _ = offered[i]
             if p[i] >= self.thresholds[kind] and all(e <= s or b >= t for s, _, t in chosen):
                 chosen.append((b, KINDS.index(kind), e))
