@@ -22,8 +22,8 @@ SKETCH_BITS, REPORT = 22, 8
 SPARE = 10
 #: Ratio of the sizes of neighbouring size classes.
 SIZE_STEP = 1.05
-#: Documents sharing a token up to which pairs are tried directly; beyond, they must also agree on a part.
-DIRECT = 64
+#: Documents in a block of a cluster; a task compares two blocks.
+BLOCK = 512
 #: Bits that tell which texts a comparison needs; more texts than bits only make the filter idle.
 NEED_BITS = 24
 
@@ -55,6 +55,11 @@ def shingles(sizes: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray,
     return text[fresh], value[fresh]
 
 
+def _listed(n: np.ndarray, similarity: int) -> np.ndarray:
+    """How many of its rarest shingles a set of n has in the matrix."""
+    return np.minimum(n, n - (similarity * n + 99) // 100 + 1 + SPARE * n // 100)
+
+
 def _sketch(texts: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     """About the log2 of each hash bucket's shingle count where it is large; any values keep the join exact."""
 
@@ -106,7 +111,7 @@ def _profiles(texts: DataFrame, weights: np.ndarray, k: int, similarity: int) ->
                 weight = weights[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 order = np.lexsort(((weight << np.uint64(56)) | (value >> np.uint64(8)), text))
                 own = count[have]
-                prefix = np.minimum(own, own - (similarity * own + 99) // 100 + 1 + SPARE * own // 100)
+                prefix = _listed(own, similarity)
                 rank = np.arange(len(text)) - np.repeat(starts, own)
                 taken = rank < np.repeat(prefix, own)
                 tokens.append(value[order][taken].astype(np.int64))
@@ -176,56 +181,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("v", "comp")
 
 
-def _part_keys(texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """Names of the parts of each set, such that two similar sets have an equal part.
-
-    Sets of n and m shingles that link differ in at most (n + m) * (100 - s) / (100 + s) of them. At a size
-    level that number has a bound; dealt by hash into more parts than that, the two sets agree on one. A set
-    with more filled parts than the bound agrees on a filled one; only others need their empty parts named.
-    """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        step = 100 / similarity
-        for batch in batches:
-            rids, keys = [], []
-            for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                value = np.concatenate([shingles(s, w, k)[1] for _, s, w in hashed_words([text])])
-                n, own = len(value), 0
-                if not n:
-                    continue
-                while step ** (own + 1) <= n:
-                    own += 1
-                for level in (own, own + 1):
-                    most = int(step ** (level + 1)) + 1
-                    differ = 2 * most * (100 - similarity) // (100 + similarity)
-                    parts = differ + differ // 8 + 3
-                    part = (value % np.uint64(parts)).astype(np.int64)
-                    sums = np.zeros(parts, np.uint64)
-                    np.add.at(sums, part, mix64(value ^ _PLACE[62]))
-                    name = mix64(mix64(sums ^ np.uint64(level)) + np.arange(parts, dtype=np.uint64) * _PLACE[63])
-                    filled = np.bincount(part, minlength=parts) > 0
-                    name = name[filled] if filled.sum() > differ else name
-                    rids.append(np.full(len(name), rid))
-                    keys.append(name.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids) if rids else np.zeros(0), pa.int64()), pa.array(np.concatenate(keys) if keys else np.zeros(0), pa.int64())], names=["rid", "tok"])
-
-    return texts.select("rid", "text").mapInArrow(run, "rid long, tok long")
-
-
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Joins documents whose sets of k-word shingles have at least the given Jaccard similarity, into components.
 
     Equal sets are one class, of which one row is compared. Bands of minima partition the classes into groups
     of similar documents, linked to a leader after full comparison. The token-group matrix holds the rarest
     shingles of every document by group. A document that links outside its group finds all but a few of these
-    among the tokens of other groups; one that does not is closed, and so, step by step, are the groups that
-    only closed documents made look alike. Of the groups left open, tokens first offer one document each, and
-    links found merge groups; then all remaining pairs of documents of different groups that share a token,
-    near enough to the front of both orders, are compared in full. Where many documents share one, its pairs
-    must also agree on one part of their sets, which linked sets always do. No partners or candidates are
-    dropped, so no link between groups is lost.
+    among the tokens of other groups, of documents of its size; one that does not is closed, and so, step by
+    step, are those that only closed documents made look alike. What is still connected is opened: pairs of
+    blocks are counted out against the bound for their sizes, and the pairs that meet it are compared in full.
+    No partners or candidates are dropped, so no link between groups is lost.
 
     Returns ``doc_id, n_shingles, component_id``, one row per input row, plus ``rid`` to tell rows apart. Words
     are as in the contract of the query; A-Z count as a-z. A text without words, or null, has an empty set and
@@ -286,27 +251,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = scratch.put(qualifying(labelled(reps.select("rid", "n", "prefix")).select("rid", "n", "comp", F.posexplode("prefix").alias("i", "tok"))), "entries")
     # groups whose entries cannot add up to a link are closed, which may close others
     size = entries.count()
-    while size:
-        before, last = size, entries
-        entries = scratch.put(qualifying(sized(labelled(entries.drop("comp")).select("rid", "n", "comp", "i", "tok"))), "entries")
+    before = 2 * size
+    while 0 < size < 0.8 * before:
+        last, before = entries, size
+        entries = scratch.put(qualifying(sized(entries)), "entries")
         scratch.drop(last)
         size = entries.count()
-        if size < 0.8 * before:
-            continue
-        # each token offers its first document to one of every other group; found links merge groups
-        first = entries.groupBy("tok").agg(F.min(F.struct("comp", "rid", "n")).alias("f"))
-        heads = scratch.put(entries.groupBy("tok", "comp").agg(F.min(F.struct("rid", "n")).alias("h")), "heads")
-        offered = heads.join(scratch.put(first, "first"), "tok").where(F.col("comp") != F.col("f.comp")).where(close("h.n", "f.n"))
-        pairs = offered.select(F.least("h.rid", "f.rid").alias("a"), F.greatest("h.rid", "f.rid").alias("b")).distinct()
-        fresh = scratch.put(pairs.join(tried, ["a", "b"], "left_anti"), "offered")
-        found = scratch.put(_linked(texts, fresh, scratch, k, similarity), "found")
-        tried = tried.unionByName(fresh)
-        if found.isEmpty():
-            break
-        links = scratch.put(links.unionByName(found), "links")
-        groups = components(links, scratch)
     if size:
-        links = links.unionByName(_opened(texts, entries, tried, scratch, k, similarity))
+        links = links.unionByName(_opened(texts, entries, scratch, k, similarity))
         groups = components(scratch.put(links, "links"), scratch)
 
     named = classes.join(groups, classes["rep"] == groups["v"], "left").select("f1", "f2", "least", F.coalesce("comp", "rep").alias("comp"))
@@ -317,28 +269,46 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return linked.unionByName(empty)
 
 
-def _opened(texts: DataFrame, entries: DataFrame, tried: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
-    """Links among all pairs of documents of different open groups that one cell brings together."""
-    sizes = scratch.put(entries.groupBy("tok").agg(F.count("*").alias("c")), "sizes")
-    cells = scratch.put(entries.join(sizes, "tok"), "cells")
-
-    def candidates(cells: DataFrame, placed: bool) -> DataFrame:
-        """Pairs that sizes (and places in both orders) allow to link."""
-        one = cells.select("tok", F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("g1"), *([F.col("i").alias("i1")] if placed else []))
-        two = cells.select("tok", F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("g2"), *([F.col("i").alias("i2")] if placed else []))
-        least = F.ceil(F.lit(similarity) * (F.col("n1") + F.col("n2")) / F.lit(100 + similarity) - F.lit(1e-9))
-        fits = 100 * F.least("n1", "n2") >= similarity * F.greatest("n1", "n2")
-        if placed:
-            fits = fits & (F.col("i1") <= F.col("n1") - least) & (F.col("i2") <= F.col("n2") - least)
-        return one.join(two, "tok").where((F.col("a") < F.col("b")) & (F.col("g1") != F.col("g2")) & fits).select("a", "b").distinct()
-
-    pairs = candidates(cells.where(F.col("c") <= DIRECT), True)
-    crowded = scratch.put(cells.where(F.col("c") > DIRECT).select("rid", "n", "comp").distinct(), "crowded")
-    if not crowded.isEmpty():
-        parts = scratch.put(_part_keys(texts.join(crowded.select("rid"), "rid", "left_semi"), k, similarity).join(crowded, "rid"), "parts")
-        mixed = scratch.put(parts.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tok"), "mixed")
-        pairs = pairs.unionByName(candidates(parts.join(mixed, "tok", "left_semi"), False)).distinct()
-    return scratch.put(_linked(texts, scratch.put(pairs.join(tried, ["a", "b"], "left_anti"), "opened"), scratch, k, similarity), "more")
+def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
+    """Links between documents of different groups that common entries still connect.
+
+    Documents that entries connect form a cluster; a cluster is cut into blocks, and each pair of blocks goes
+    to a task of its own, which counts common entries of all its pairs in one matrix and gives out those that
+    have as many as a link of their sizes needs. These are compared in full.
+    """
+    first = scratch.put(entries.groupBy("tok").agg(F.min("rid").alias("f")), "first")
+    edges = entries.select("rid", "tok").join(first, "tok").where("rid <> f").select(F.col("rid").alias("a"), F.col("f").alias("b")).distinct()
+    clusters = components(scratch.put(edges, "edges"), scratch).select(F.col("v").alias("rid"), F.col("comp").alias("cluster"))
+    sizes = scratch.put(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    rows = entries.groupBy("rid", "n", "comp").agg(F.collect_list("tok").alias("toks")).join(clusters, "rid").join(sizes, "cluster")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "n", "comp", "toks")
+
+    def compare(found):
+        import pyarrow as pa
+
+        rid, n, comp = (found.column(c).to_numpy() for c in ("rid", "n", "comp"))
+        lists = found.column("toks").combine_chunks()
+        owner = np.repeat(np.arange(len(rid)), np.diff(lists.offsets.to_numpy()))
+        order, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        common = np.zeros((len(rid), len(rid)), np.float32)
+        by = np.argsort(token, kind="stable")
+        for at in range(0, len(order), 2048):
+            lo, hi = np.searchsorted(token[by], (at, at + 2048))
+            part = np.zeros((len(rid), 2048), np.float32)
+            part[owner[by[lo:hi]], token[by[lo:hi]] - at] = 1
+            common += part @ part.T
+        a, b = np.nonzero(np.triu(common, 1))
+        keep = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+        a, b = a[keep], b[keep]
+        overlap = -(-similarity * (n[a] + n[b]) // (100 + similarity))
+        least = np.minimum(_listed(n[a], similarity) - n[a], _listed(n[b], similarity) - n[b]) + overlap
+        keep = common[a, b] >= least
+        a, b = rid[a[keep]], rid[b[keep]]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    pairs = dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return scratch.put(_linked(texts, scratch.put(pairs, "opened"), scratch, k, similarity), "more")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
