@@ -238,12 +238,12 @@ def test_contamination(spark, tmp_path, at_once):
 
 # ---- similar documents
 
-@pytest.mark.parametrize("direct,report,bands", [(1, 2, 8), (0, 1, 1), (64, 8, 8)])
-def test_similar_groups(spark, tmp_path, monkeypatch, direct, report, bands):
-    monkeypatch.setattr(ngramjoin, "DIRECT", direct)
+@pytest.mark.parametrize("block,report,bands", [(5, 2, 8), (3, 1, 1), (512, 8, 8)])
+def test_similar_groups(spark, tmp_path, monkeypatch, block, report, bands):
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
     monkeypatch.setattr(ngramjoin, "REPORT", report)
     monkeypatch.setattr(ngramjoin, "BANDS", bands)
-    r = random.Random(direct)
+    r = random.Random(block)
     vocabulary = [f"w{i}" for i in range(200)]
     base = [[r.choice(vocabulary) for _ in range(r.randint(1, 60))] for _ in range(12)]
     passage = [r.choice(vocabulary) for _ in range(12)]
