@@ -28,7 +28,7 @@ class ExplainableKMeans:
     above the least center bin only, and estimated center bins for scoring.
     """
 
-    def __init__(self, k: int, max_leaves: int | None = None, strategy: str = "levelwise", splits: int = 10, max_bins: int = 32, seed: int = 42, max_iter: int = 40, base_tree: str = "imm", compat: bool = False, sample: float | None = None):
+    def __init__(self, k: int, max_leaves: int | None = None, strategy: str = "levelwise", splits: int = 10, max_bins: int = 32, seed: int = 42, max_iter: int = 40, base_tree: str = "mistakes", compat: bool = False, sample: float | None = None):
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}")
         if max_leaves is not None and max_leaves < k:
