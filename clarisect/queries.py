@@ -255,6 +255,12 @@ def splits_quartile(spark, sf_dir):
     return splits.split_table(spark, found)
 
 
+@query("WITH " + _STRIDE.format(base=BASE.strip()).replace("SELECT feature, threshold FROM r WHERE threshold IS NOT NULL", """, every AS (SELECT feature, threshold FROM r WHERE threshold IS NOT NULL UNION SELECT feature, center::DOUBLE FROM cl)
+SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY threshold) - 1)::INT AS bin, threshold FROM every"""))
+def find_splits_full(spark, sf_dir):
+    return splits.split_table(spark, splits.find_splits(labelled(spark, sf_dir), CENTERS, 5, sampled=False))
+
+
 @query()
 def find_splits_sampled(spark, sf_dir):
     return splits.split_table(spark, splits.find_splits(labelled(spark, sf_dir), CENTERS, key=KEY))
@@ -412,27 +418,79 @@ def two_class_mistakes(spark, sf_dir):
 
 # ---- trees
 
-COLUMNS = ["node_id", "depth", "feature", "threshold", "is_leaf", "cluster_ids", "leaf_cluster", "samples", "mistakes"]
-
-
-@query()
+def levelwise_sql(estimated: bool, low: int, levels: int = 3) -> str:
+    """Binned growth, one group of CTEs a level; rows that part from their center keep the node where they did."""
+    parts = ["b0 AS (SELECT row_number() OVER () AS r, * FROM lab)",
+             "bn AS (SELECT r, y, unnest([0, 1, 2, 3]) AS feature, unnest([" + ", ".join(f"len(list_filter({l}, lambda x: x < f{f}))" for f, l in _T.items()) + "]) AS bin FROM b0)",
+             "s0 AS (SELECT r, y, 0 AS node, true AS ok FROM b0)"]
+    for k in range(levels):
+        own = "floor(sum(bin * n) / sum(n) + 0.5)" if estimated else "any_value(center_bin)"
+        parts += [
+            f"h{k} AS (SELECT node, feature, y, bin, count(*) AS n FROM s{k} JOIN bn USING (r, y) WHERE ok GROUP BY ALL)",
+            f"g{k} AS (SELECT node, h.feature, min(center_bin) + {low} AS lo, max(center_bin) AS hi FROM h{k} AS h JOIN cb ON cb.cluster_id = h.y AND cb.feature = h.feature GROUP BY ALL)",
+            f"e{k} AS (SELECT node, h.feature, y, {own} AS c FROM h{k} AS h JOIN cb ON cb.cluster_id = h.y AND cb.feature = h.feature GROUP BY ALL)",
+            f"m{k} AS (SELECT node, feature, s.s AS cut, sum(CASE WHEN (bin <= s.s) <> (c <= s.s) THEN n ELSE 0 END) AS m FROM h{k} JOIN e{k} USING (node, feature, y) JOIN g{k} USING (node, feature), unnest(range(lo, hi)) AS s(s) GROUP BY ALL)",
+            f"c{k} AS (SELECT node, feature, cut, m FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY m, feature, cut) AS i FROM m{k}) WHERE i = 1)",
+            f"""s{k + 1} AS (SELECT s.r, s.y, CASE WHEN NOT ok OR c.node IS NULL THEN s.node WHEN bin <= cut THEN 2 * s.node + 1 ELSE 2 * s.node + 2 END AS node, ok AND (c.node IS NULL OR (bin <= cut) = (center_bin <= cut)) AS ok
+              FROM s{k} AS s LEFT JOIN c{k} AS c ON s.ok AND c.node = s.node LEFT JOIN bn ON bn.r = s.r AND bn.feature = c.feature LEFT JOIN cb ON cb.cluster_id = s.y AND cb.feature = c.feature)""",
+        ]
+    moves = " UNION ".join(f"SELECT r, node, ok FROM s{k}" for k in range(levels + 1))
+    cuts_made = " UNION ".join(f"SELECT node, feature, cut, m FROM c{k}" for k in range(levels))
+    parts += [f"moves AS ({moves})", f"made AS ({cuts_made})", "counts AS (SELECT node, count(DISTINCT r) AS samples, count_if(NOT ok) AS mistakes FROM moves GROUP BY node)"]
+    return sql(", ".join(parts) + " SELECT node::BIGINT AS node_id, feature::INT AS feature, cut::INT AS bin, m::BIGINT AS scored_mistakes, samples, mistakes FROM counts LEFT JOIN made USING (node)")
+
+
+def recursive_sql(exact: bool, levels: int = 3) -> str:
+    """Growth on raw thresholds; exact tries every value and takes mistaken rows out, else the literal thresholds."""
+    tries = "SELECT DISTINCT node, feature, value AS s FROM vc{k} UNION " if exact else "SELECT DISTINCT node, t.feature, threshold AS s FROM vc{k} JOIN t ON t.feature = vc{k}.feature UNION "
+    parts = ["b0 AS (SELECT row_number() OVER () AS r, * FROM lab)", "ur AS (SELECT r, y, unnest([0, 1, 2, 3]) AS feature, unnest([f0, f1, f2, f3])::DOUBLE AS value FROM b0)",
+             "s0 AS (SELECT r, y, 0 AS node FROM b0)", "v0 AS (SELECT 0 AS node, cluster_id FROM c)"]
+    for k in range(levels):
+        drop = f"WHERE (value <= s) = (center <= s)" if exact else ""
+        parts += [
+            f"a{k} AS (SELECT node FROM s{k} GROUP BY node HAVING count(DISTINCT y) > 1 INTERSECT SELECT node FROM v{k} GROUP BY node HAVING count(*) > 1)",
+            f"vc{k} AS (SELECT node, feature, y, value, count(*) AS n FROM s{k} JOIN a{k} USING (node) JOIN ur USING (r, y) GROUP BY ALL)",
+            f"o{k} AS (SELECT node, feature, center::DOUBLE AS s FROM v{k} JOIN cl USING (cluster_id))",
+            f"g{k} AS (SELECT node, feature, min(s) AS lo, max(s) AS hi FROM o{k} GROUP BY ALL)",
+            f"top{k} AS (SELECT node, feature, max(value) AS top FROM vc{k} GROUP BY ALL)",
+            f"t{k} AS (SELECT node, feature, s FROM ({tries.format(k=k)} SELECT node, feature, s FROM o{k} JOIN a{k} USING (node)) JOIN g{k} USING (node, feature) JOIN top{k} USING (node, feature) WHERE s >= lo AND s < hi" + (" AND s < top)" if exact else ")"),
+            f"m{k} AS (SELECT node, vc.feature, s, sum(CASE WHEN (value <= s) <> (center <= s) THEN n ELSE 0 END) AS m FROM t{k} AS x JOIN vc{k} AS vc USING (node, feature) JOIN cl ON cl.cluster_id = vc.y AND cl.feature = vc.feature GROUP BY ALL)",
+            f"c{k} AS (SELECT node, feature, s, m FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY m, feature, s) AS i FROM m{k}) WHERE i = 1)",
+            f"s{k + 1} AS (SELECT r, s{k}.y, CASE WHEN value <= s THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM s{k} JOIN c{k} USING (node) JOIN ur ON ur.r = s{k}.r AND ur.feature = c{k}.feature JOIN cl ON cl.cluster_id = s{k}.y AND cl.feature = c{k}.feature {drop})".replace("SELECT r,", f"SELECT s{k}.r,"),
+            f"v{k + 1} AS (SELECT CASE WHEN center <= s THEN 2 * node + 1 ELSE 2 * node + 2 END AS node, cluster_id FROM v{k} JOIN c{k} USING (node) JOIN cl USING (cluster_id, feature))",
+        ]
+    made = " UNION ALL ".join(f"SELECT node, feature, s, m FROM c{k}" for k in range(levels))
+    standing = " UNION ALL ".join(f"SELECT node, y FROM s{k}" for k in range(levels + 1))
+    valid = " UNION ALL ".join(f"SELECT node, cluster_id FROM v{k}" for k in range(levels + 1))
+    parts += [f"made AS ({made})", f"standing AS ({standing})", f"valid AS ({valid})", "one AS (SELECT node, count(*) AS n, min(cluster_id) AS lowest FROM valid GROUP BY node)",
+              "lb AS (SELECT node, count(DISTINCT y) AS k, min(y) AS sole FROM standing GROUP BY node)"]
+    return sql(", ".join(parts) + """ SELECT one.node::BIGINT AS node_id, feature::INT AS feature, s AS threshold, m::BIGINT AS scored_mistakes,
+      CASE WHEN made.node IS NOT NULL THEN NULL WHEN lb.node IS NULL THEN 0 WHEN n = 1 THEN lowest WHEN k = 1 THEN sole ELSE lowest END::INT AS leaf_cluster
+      FROM one LEFT JOIN made USING (node) LEFT JOIN lb USING (node)""")
+
+
+BINNED_COLUMNS = ["node_id", "feature", "bin", "scored_mistakes", "samples", "mistakes"]
+RAW_COLUMNS = ["node_id", "feature", "threshold", "scored_mistakes", "leaf_cluster"]
+
+
+@query(levelwise_sql(False, 0))
 def grow_tree_levelwise(spark, sf_dir):
-    return grow_levelwise(labelled(spark, sf_dir), CENTERS, SPLITS).table(spark)
+    return grow_levelwise(labelled(spark, sf_dir), CENTERS, SPLITS).table(spark).select(*BINNED_COLUMNS)
 
 
-@query()
+@query(levelwise_sql(True, 1))
 def grow_tree_levelwise_compat(spark, sf_dir):
-    return grow_levelwise(labelled(spark, sf_dir), CENTERS, SPLITS, "reference", "estimated").table(spark)
+    return grow_levelwise(labelled(spark, sf_dir), CENTERS, SPLITS, "reference", "estimated").table(spark).select(*BINNED_COLUMNS)
 
 
-@query()
+@query(recursive_sql(False))
 def grow_tree_recursive(spark, sf_dir):
-    return grow_recursive(labelled(spark, sf_dir), CENTERS, splits.split_table(spark, SPLITS)).table(spark)
+    return grow_recursive(labelled(spark, sf_dir), CENTERS, splits.split_table(spark, SPLITS)).table(spark).select(*RAW_COLUMNS)
 
 
-@query()
+@query(recursive_sql(True))
 def grow_tree_exact(spark, sf_dir):
-    return grow_recursive(labelled(spark, sf_dir), CENTERS, drop_mistakes=True).table(spark)
+    return grow_recursive(labelled(spark, sf_dir), CENTERS, drop_mistakes=True).table(spark).select(*RAW_COLUMNS)
 
 
 @query()
