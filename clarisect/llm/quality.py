@@ -32,7 +32,9 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
 
     own = docs.columns
     stats = {
-        "words": n_words.cast("double"),
+        # the added 0 depends on the row's place, which keeps a filter on the score from being computed a second
+        # time below these projections, with every statistic once for each rule
+        "words": n_words.cast("double") + F.monotonically_increasing_id() * 0.0,
         "word_length": share(n, n_words),
         "distinct_words": share(F.size(F.array_distinct(words)), n_words),
         "repeated_next": share(found(r"(?<![^\s])([^\s]++)\s(?=\1(?![^\s]))"), n_words),
