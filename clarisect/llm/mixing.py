@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, row_number
 
 #: Words in a block; the schedule gives one block per slot.
 BLOCK_WORDS = 256
@@ -102,9 +102,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     made = ("size", "source_size", "target", "taken")
     carry = [c for c in (carry or [id_col]) if c not in made]
     keyed = docs.select(
-        *[F.col(c).alias(f"c_{c}") for c in carry], word_count(text_col).alias("size"),
+        row_number(spark).alias("rid"), F.col(id_col).alias("id"), word_count(text_col).alias("size"),
         F.coalesce(F.col(source_col), F.lit("")).alias("name"), F.col(source_col).isNull().alias("unnamed"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), F.col(f"c_{id_col}"), "size"))
+    ).withColumn("h", F.xxhash64(F.lit(seed), "id", "size"))
     keyed = scratch.put(keyed, "sizes")
     found = sorted(keyed.groupBy("unnamed", "name").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["unnamed"], r["name"]))
     sizes = [r["size"] for r in found]
@@ -117,11 +117,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     streams = keyed.join(sources.select("unnamed", "name", "src", "buckets"), ["unnamed", "name"]).withColumn("bucket", F.pmod("h", "buckets"))
     sums = streams.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     starts = scratch.put(sums.select("src", "bucket", (F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before")), "starts")
-    order = Window.partitionBy("src", "bucket").orderBy("h", f"c_{id_col}", "size")
+    order = Window.partitionBy("src", "bucket").orderBy("h", "id", "size", "rid")
     placed = scratch.put(
-        streams.withColumn("words", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("row", F.row_number().over(order))
+        streams.withColumn("words", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .join(starts, ["src", "bucket"])
-        .select(*[f"c_{c}" for c in carry], "size", "src", "bucket", "row", (F.col("before") + F.col("words") - F.col("size")).alias("begin")),
+        .select("rid", "id", "size", "src", (F.col("before") + F.col("words") - F.col("size")).alias("begin")),
         "placed",
     )
 
@@ -141,13 +141,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     low = F.greatest(F.col("begin") - F.col("block") * block_words, F.lit(0))
     high = F.least(F.col("begin") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
     used = F.col("times") * (high - low) + F.greatest(F.lit(0), F.least(F.col("part"), high) - low)
-    keys = [*[f"c_{c}" for c in carry], "size", "src", "bucket", "row"]
     out = (
-        pieces.join(taken, ["src", "block"], "left").groupBy("src", "bucket", "row").agg(
-            *[F.first(k).alias(k) for k in keys if k not in ("src", "bucket", "row")], F.sum(F.coalesce(F.when(F.col("size") > 0, used), F.lit(0))).cast("long").alias("taken"))
+        pieces.join(taken, ["src", "block"], "left").groupBy("rid", "id", "size", "src").agg(F.sum(F.coalesce(F.when(F.col("size") > 0, used), F.lit(0))).cast("long").alias("taken"))
         .join(sources.select("src", "source_size", "target"), "src")
-        .select(*[F.col(f"c_{c}").alias(c) for c in carry], "size", "source_size", "target", "taken")
     )
+    if carry == [id_col]:
+        out = out.withColumn(f"c_{id_col}", F.col("id"))
+    else:  # texts and other columns are read again and meet their row's figures once
+        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(scratch.put(out.drop("id"), "out"), "rid")
+    out = out.select(*[F.col(f"c_{c}").alias(c) for c in carry], "size", "source_size", "target", "taken")
     return out, slots.select("slot", "src", "block", "words")
 
 
