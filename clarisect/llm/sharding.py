@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, text_or_empty
+from .shared import Scratch, row_number, text_or_empty
 
 LOWEST = -(2**63)
 SHARDS = 16
@@ -71,12 +71,11 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc
     text = text_or_empty(text_col)
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "range")
     carry = [c for c in (carry or [id_col]) if c not in made]
-    keyed = docs.select(
-        *[F.col(c).alias(f"c_{c}") for c in carry],
+    slim = scratch.put(docs.select(
+        row_number(spark).alias("rid"), F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"),
         F.xxhash64(text).alias("h"), F.xxhash64(F.lit("id"), F.col(id_col)).alias("d"),
-    )
-    slim = scratch.put(keyed.select("size", "h", "d") if carry != [id_col] else keyed, "keys")
+    ), "keys")
     total, count = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     pieces = shards * ranges_per_shard
     expected = total / pieces
@@ -117,12 +116,11 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc
     before = np.cumsum(sizes, axis=0) - sizes
     place = _range_udf(cut_h, cut_d, np.ascontiguousarray(before[:, 0]), np.ascontiguousarray(before[:, 1]))
 
-    rows = slim if carry == [id_col] else keyed
-    in_range = Window.partitionBy("p.range").orderBy("h", "d")
+    in_range = Window.partitionBy("p.range").orderBy("h", "d", "rid")
     so_far = in_range.rowsBetween(Window.unboundedPreceding, 0)
     alike = Window.partitionBy("p.range", "h")
     ordered = (
-        rows.withColumn("p", place("h", "d"))
+        slim.withColumn("p", place("h", "d"))
         .withColumn("begin", F.col("p.bytes_before") + F.sum("size").over(so_far) - F.col("size"))
         .withColumn("at", F.col("p.rows_before") + F.row_number().over(in_range) - 1)
         .withColumn("group_begin", F.min("begin").over(alike))
@@ -131,10 +129,14 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc
     whole = ~F.col("p.spans") & (F.col("group_size") <= group_share * total / shards)
     middle = F.when(whole, 2 * F.col("group_begin") + F.col("group_size")).otherwise(2 * F.col("begin") + F.col("size"))
     shard = F.least(F.lit(shards - 1), F.floor(middle / F.lit(2.0 * max(total, 1)) * shards)).cast("int")
-    placed = scratch.put(ordered.select(*[f"c_{c}" for c in carry], "size", "crc", "at", F.col("p.range").alias("range"), shard.alias("shard")), "placed")
+    placed = scratch.put(ordered.select("rid", "id", "size", "crc", "at", F.col("p.range").alias("range"), shard.alias("shard")), "placed")
     starts = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("at").alias("first")).collect()}
     first = F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(starts.items()) for x in (k, v)]), F.col("shard")) if starts else F.lit(0)
-    return placed.select(
+    if carry == [id_col]:
+        out = placed.withColumn(f"c_{id_col}", F.col("id"))
+    else:  # whole records are read again and meet their place once
+        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(placed.drop("id"), "rid")
+    return out.select(
         *[F.col(f"c_{c}").alias(c) for c in carry], "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("at") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "range",
     )
