@@ -85,7 +85,7 @@ def _postings(docs: DataFrame, terms: np.ndarray, anchors: np.ndarray, reach: in
     return docs.select("rid", F.lit(0), "text").mapInArrow(run, "rid long, n_words long, terms array<long>, places array<long>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP, carry: list[str] | None = None, terms_at_once: int = TERMS_AT_ONCE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP, carry: list[str] | None = None, terms_at_once: int = TERMS_AT_ONCE, numbered: bool = False) -> DataFrame:
     """Finds the windows of benchmark items in training documents by intersecting positional postings.
 
     Terms are words of digits, letters a-z (A-Z lower-cased) and non-ASCII characters, held as 64-bit hashes.
@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A proximity match needs the three rarest terms within ``window - 1 + slop`` words of the rarest.
 
     Returns ``carry`` (the id by default) plus ``n_words, n_hit, n_items, items_sha256, contaminated,
-    n_near_items``, one row per input row. Null texts have no words; null or wordless items match nothing;
+    n_near_items``, one row per input row (and ``rid``, the row's number, if ``numbered``). Null texts have no words; null or wordless items match nothing;
     null item ids count as no item in the list but their words are hit; null document ids, repeated rows and
     repeated items are ordinary; empty tables give no rows, or clean ones. A carried column whose name is one
     of the result's is replaced.
@@ -178,7 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return (
         texts.drop("text").join(documents, "rid").join(marks, "rid", "left")
         .select(
-            *[F.col(f"c_{c}").alias(c) for c in carry], "n_words", n_hit.alias("n_hit"), F.coalesce(F.size(F.coalesce("items", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("n_items"),
+            *(["rid"] if numbered else []), *[F.col(f"c_{c}").alias(c) for c in carry], "n_words", n_hit.alias("n_hit"), F.coalesce(F.size(F.coalesce("items", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"),
         )
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, row_number
+from .shared import Scratch, row_number, slim
 
 #: Words in a block; the schedule gives one block per slot.
 BLOCK_WORDS = 256
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if carry == [id_col]:
         out = out.withColumn(f"c_{id_col}", F.col("id"))
     else:  # texts and other columns are read again and meet their row's figures once
-        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(scratch.put(out.drop("id"), "out"), "rid")
+        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(slim(scratch.put(out.drop("id"), "out")), "rid")
     out = out.select(*[F.col(f"c_{c}").alias(c) for c in carry], "size", "source_size", "target", "taken")
     return out, slots.select("slot", "src", "block", "words")
 

@@ -125,9 +125,8 @@ def _profiles(texts: DataFrame, weights: np.ndarray, k: int, similarity: int) ->
     return texts.select("rid", "text", "id").mapInArrow(run, f"rid long, id {kind}, n long, f1 long, f2 long, bands array<long>, prefix array<long>")
 
 
-def _linked(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are similar enough, compared in full."""
-    need = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "need")
+def _needed(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """The texts whose numbers a written table lists; a bit map drops most others before they are dealt out."""
     bit = F.pmod(F.xxhash64("rid"), F.lit(1 << NEED_BITS))
     marks = np.zeros(1 << NEED_BITS, bool)
     marks[need.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
@@ -138,7 +137,12 @@ def _linked(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, simila
         at = bits.to_numpy(np.int64)
         return pd.Series((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
-    found = scratch.put(texts.select("rid", "text").where(may_need(bit)).join(need, "rid"), "texts")
+    return texts.select("rid", "text").where(may_need(bit)).join(need, "rid")
+
+
+def _linked(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are similar enough, compared in full."""
+    found = scratch.put(_needed(texts, scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "need")), "texts")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -189,7 +193,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles of every document by group. A document that links outside its group finds all but a few of these
     among the tokens of other groups, of documents of its size; one that does not is closed, and so, step by
     step, are those that only closed documents made look alike. What is still connected is opened: pairs of
-    blocks are counted out against the bound for their sizes, and the pairs that meet it are compared in full.
+    blocks are compared in full.
     No partners or candidates are dropped, so no link between groups is lost.
 
     Returns ``doc_id, n_shingles, component_id``, one row per input row, plus ``rid`` to tell rows apart. Words
@@ -273,42 +277,42 @@ def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, simi
     """Links between documents of different groups that common entries still connect.
 
     Documents that entries connect form a cluster; a cluster is cut into blocks, and each pair of blocks goes
-    to a task of its own, which counts common entries of all its pairs in one matrix and gives out those that
-    have as many as a link of their sizes needs. These are compared in full.
+    to a task of its own, which counts the common shingles of all its pairs in one matrix and gives out links.
     """
     first = scratch.put(entries.groupBy("tok").agg(F.min("rid").alias("f")), "first")
     edges = entries.select("rid", "tok").join(first, "tok").where("rid <> f").select(F.col("rid").alias("a"), F.col("f").alias("b")).distinct()
     clusters = components(scratch.put(edges, "edges"), scratch).select(F.col("v").alias("rid"), F.col("comp").alias("cluster"))
     sizes = scratch.put(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    rows = entries.groupBy("rid", "n", "comp").agg(F.collect_list("tok").alias("toks")).join(clusters, "rid").join(sizes, "cluster")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "n", "comp", "toks")
+    members = entries.select("rid", "n", "comp").distinct().join(clusters, "rid").join(sizes, "cluster")
+    rows = _needed(texts, scratch.put(members, "members")).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "n", "comp", "text")
 
     def compare(found):
         import pyarrow as pa
 
         rid, n, comp = (found.column(c).to_numpy() for c in ("rid", "n", "comp"))
-        lists = found.column("toks").combine_chunks()
-        owner = np.repeat(np.arange(len(rid)), np.diff(lists.offsets.to_numpy()))
-        order, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner, token = [], []
+        for first, sizes, words in hashed_words(text_bytes(found.column("text").combine_chunks())):
+            text, value = shingles(sizes, words, k)
+            owner.append(text + first)
+            token.append(value)
+        owner, (_, token, times) = np.concatenate(owner), np.unique(np.concatenate(token), return_inverse=True, return_counts=True)
+        owner, token = owner[times[token] > 1], token[times[token] > 1]  # what one document has alone counts in n
+        kinds, token = np.unique(token, return_inverse=True)
         common = np.zeros((len(rid), len(rid)), np.float32)
         by = np.argsort(token, kind="stable")
-        for at in range(0, len(order), 2048):
+        for at in range(0, len(kinds), 2048):
             lo, hi = np.searchsorted(token[by], (at, at + 2048))
             part = np.zeros((len(rid), 2048), np.float32)
             part[owner[by[lo:hi]], token[by[lo:hi]] - at] = 1
             common += part @ part.T
         a, b = np.nonzero(np.triu(common, 1))
-        keep = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
-        a, b = a[keep], b[keep]
-        overlap = -(-similarity * (n[a] + n[b]) // (100 + similarity))
-        least = np.minimum(_listed(n[a], similarity) - n[a], _listed(n[b], similarity) - n[b]) + overlap
-        keep = common[a, b] >= least
-        a, b = rid[a[keep]], rid[b[keep]]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    pairs = dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-    return scratch.put(_linked(texts, scratch.put(pairs, "opened"), scratch, k, similarity), "more")
+        both = common[a, b].astype(np.int64)
+        keep = (comp[a] != comp[b]) & (100 * both >= similarity * (n[a] + n[b] - both))
+        return pa.table([pa.array(rid[a[keep]]), pa.array(rid[b[keep]])], names=["a", "b"])
+
+    return scratch.put(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "more")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

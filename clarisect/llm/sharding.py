@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, row_number, text_or_empty
+from .shared import slim as slim_side
 
 LOWEST = -(2**63)
 SHARDS = 16
@@ -135,7 +136,7 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc
     if carry == [id_col]:
         out = placed.withColumn(f"c_{id_col}", F.col("id"))
     else:  # whole records are read again and meet their place once
-        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(placed.drop("id"), "rid")
+        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(slim_side(placed.drop("id")), "rid")
     return out.select(
         *[F.col(f"c_{c}").alias(c) for c in carry], "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("at") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "range",

@@ -70,6 +70,15 @@ def row_number(spark: SparkSession) -> Column:
     return F.monotonically_increasing_id()
 
 
+#: Rows of a few numbers up to which the slim side of a join is broadcast; more are joined by shuffle.
+SLIM_ROWS = 500_000
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() <= SLIM_ROWS else df
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,7 +10,7 @@ from clarisect.llm.mixing import mix
 from clarisect.llm.ngramjoin import similar_groups
 from clarisect.llm.quality import fit_quality, score_quality
 from clarisect.llm.sharding import shard_by_splitters
-from clarisect.llm.shared import Scratch, row_number
+from clarisect.llm.shared import Scratch, row_number, slim
 
 
 def guarded(docs: DataFrame) -> DataFrame:
@@ -22,6 +22,12 @@ def restored(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"d_{c}").alias(c) for c in columns])
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose numbers are not in ``gone``, a written table, which is broadcast if it is small."""
+    numbered = guarded(docs).withColumn("rid", row_number(docs.sparkSession))
+    return restored(numbered.join(slim(gone), "rid", "left_anti"), docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rule ensemble, fitted on ``labels``, predicts to be of quality."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,18 +40,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The document whose id names the group stays; of repeated rows with that id one stays. Documents without
     words are in no group and stay.
     """
-    groups = similar_groups(docs)
+    scratch = Scratch(spark, "near")
+    groups = scratch.put(similar_groups(docs).where("n_shingles > 0"), "groups")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
-    best = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(first).alias("f")).select(F.col("f.rid").alias("rid"))
-    stays = Scratch(spark, "near").put(best.unionByName(groups.where("n_shingles = 0").select("rid")), "stays")
-    return restored(guarded(docs).withColumn("rid", row_number(spark)).join(stays, "rid", "left_semi"), docs.columns)
+    best = scratch.put(groups.groupBy("component_id").agg(F.min(first).alias("f")).select(F.col("f.rid").alias("rid")), "best")
+    return without(docs, scratch.put(groups.select("rid").join(best, "rid", "left_anti"), "gone"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a ten-word window of a benchmark item occurs."""
-    rows = guarded(docs)
-    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "d_doc_id", "d_text", carry=rows.columns)
-    return restored(found.where("not contaminated"), docs.columns)
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), numbered=True)
+    return without(docs, Scratch(spark, "leaks").put(found.where("contaminated").select("rid"), "gone"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
