@@ -21,8 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Bytes of rows that go to a Python worker at once; Spark's own limit is eight times as much.
-BATCH = 8 << 20
+#: Bytes of rows that go to a Python worker at once; Spark's own limit is sixteen times as much.
+BATCH = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -95,8 +95,8 @@ _MIX = np.random.default_rng(20240229)
 _BYTE = _MIX.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: Bytes of text handled at once, so that the 64-bit temporaries stay near 20 MB each.
-SLICE_BYTES = 2 << 20
+#: Bytes of text handled at once, so that the 64-bit temporaries stay near 10 MB each.
+SLICE_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
