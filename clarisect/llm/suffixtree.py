@@ -1,4 +1,4 @@
-"""Language-model scores from a probabilistic suffix tree over word symbols."""
+"""Language-model scores from a probabilistic suffix tree over words."""
 
 from __future__ import annotations
 
@@ -8,22 +8,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hashed_words, mix64, text_bytes
+from .shared import _STEP, Scratch, hashed_words, mix64, text_bytes
 
-#: Longest context, in symbols of one byte; a context and its next symbol fit one 64-bit integer.
+#: Longest context, in words.
 DEPTH = 3
-#: A context is a candidate state when it makes up at least this share of the training symbols, which bounds the
-#: states of each length by the inverse whatever the input's size.
-LEAST_SHARE = 5e-6
-#: Nats by which a state's next-symbol distribution must diverge from its parent's: per symbol, and over all its uses.
+#: Uses from which a context may be a state, whatever the input's size.
+LEAST_USES = 2
+#: Nats by which a state's next-word distribution must diverge from its parent's: per word, and over all its uses.
 LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.01, 12.0
-#: Repeated words whose counts are broadcast, most frequent first; all others are looked up by a join.
+#: Words, and longer sequences, whose figures are broadcast, most frequent first; all others are looked up by a join.
 HEAD_WORDS = 400_000
-#: Words that are symbols of their own; other head words share a symbol with those of about the same count (by
-#: powers of two), and all further words, unknown ones included, are one symbol.
-OWN_WORDS = 48
-BEGIN, TAIL, STOP, SYMBOLS = 0, 1 + OWN_WORDS + 64, 2 + OWN_WORDS + 64, 3 + OWN_WORDS + 64
-BYTES = np.uint64(8)
+#: Bits that tell which contexts may be looked up; more contexts than bits only make the filter idle.
+MARK_BITS = 24
+#: Keys of the places before and after a text's words.
+BEGIN, STOP = np.uint64(0x6A09E667F3BCC909), np.uint64(0x3C6EF372FE94F82B)
+#: Symbols of the small tree in memory, which has one byte for each, and the shift past its last symbol.
+SYMBOLS, BYTES = 115, np.uint64(8)
 TEXTS, WORDS = 0, 1
 
 
@@ -114,56 +114,75 @@ class HashTable:
         return out
 
 
-class Alphabet:
-    """The words known by heart, their counts and symbols."""
+class Head:
+    """Figures of the most frequent keys, known by heart."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tail_tokens: int, tail_words: int):
-        self.words, self.counts, self.tail_tokens, self.tail_words = words, counts, tail_tokens, tail_words
-        self.symbols = np.where(np.arange(len(words)) < OWN_WORDS, 1 + np.arange(len(words)), 1 + OWN_WORDS + np.log2(np.maximum(counts, 1)).astype(np.int64)).astype(np.uint8)
-        shared = np.bincount(self.symbols, counts, 256)
-        self.inside = np.log10(counts / shared[self.symbols]) if len(words) else np.zeros(0)
+    def __init__(self, keys: np.ndarray, *figures: np.ndarray):
+        self.keys, self.figures = keys, figures
 
     def __reduce__(self):
-        return Alphabet, (self.words, self.counts, self.tail_tokens, self.tail_words)
+        return Head, (self.keys, *self.figures)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_table"):
-            self._table = HashTable(self.words)
+            self._table = HashTable(self.keys)
         return self._table.find(hashes)
 
-    def streams(self, sizes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Grams of a run of texts, in order, with the text of each and whether it is a word (not the end)."""
-        n = len(sizes)
-        stream = np.full(int(sizes.sum()) + n * (DEPTH + 1), BEGIN, np.uint8)
-        ends = np.cumsum(sizes + DEPTH + 1)
-        owner = np.repeat(np.arange(n), sizes)
-        place = np.arange(len(found)) + (owner + 1) * DEPTH + owner
-        stream[place] = np.where(found >= 0, self.symbols[found], TAIL) if len(self.words) else TAIL
-        stream[ends - 1] = STOP
-        wide = np.ndarray((len(stream),), ">u8", b"\0" * 8 + stream.tobytes(), offset=1, strides=(1,))
-        at = np.flatnonzero(stream != BEGIN)
-        grams = wide[at].astype(np.uint64) & np.uint64((1 << (8 * (DEPTH + 1))) - 1)
-        return grams, np.repeat(np.arange(n), sizes + 1), stream[at] != STOP
 
+def sequences(sizes: np.ndarray, words: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each place of a run of texts, beginnings and ends included: its text, its number in it, and the keys of
+    the sequences of 1, 2, ... words that end there, valid from the place at which that many have passed."""
+    n = len(sizes)
+    stream = np.full(len(words) + 2 * n, BEGIN, np.uint64)
+    ends = np.cumsum(sizes + 2)
+    stream[np.arange(len(words)) + 2 * np.repeat(np.arange(n), sizes) + 1] = words
+    stream[ends - 1] = STOP
+    owner = np.repeat(np.arange(n), sizes + 2)
+    place = np.arange(len(stream)) - (ends - sizes - 2)[owner]
+    keys = [stream]
+    for _ in range(longest - 1):
+        longer = np.zeros_like(stream)
+        longer[1:] = mix64(keys[-1][:-1] * _STEP + stream[1:])
+        keys.append(longer)
+    return owner, place, keys
 
-def _count_grams(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """How often each symbol follows each context of full length."""
+
+def _marks(keys: DataFrame, *more: np.uint64) -> np.ndarray:
+    """A bit map of the keys of a table of one column, of a fixed size; more keys are marked by hand."""
+    bit = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << MARK_BITS) - 1)).cast("int")
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[keys.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    for key in more:
+        marks[int(key) & ((1 << MARK_BITS) - 1)] = True
+    return np.packbits(marks, bitorder="little")
+
+
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _count_grams(texts: DataFrame, d: int, marks: np.ndarray) -> DataFrame:
+    """How often each word follows each marked context of d words: keys of the gram g, its context c and its suffix s."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sums = Sums()
         for batch in batches:
             for _, sizes, hashes in hashed_words(text_bytes(batch.column(0))):
-                sums.add(alphabet.streams(sizes, alphabet.find(hashes))[0])
-        for keys, counts in sums.taken():
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                _, place, keys = sequences(sizes, hashes, d + 1)
+                at = np.flatnonzero(place >= d)
+                at = at[_marked(marks, keys[d - 1][at - 1])]
+                g, first, n = np.unique(keys[d][at], return_index=True, return_counts=True)
+                at = at[first]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (g, keys[d - 1][at - 1], keys[d - 1][at], n)], names=["g", "c", "s", "n"])
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "g long, c long, s long, n long").groupBy("g", "c", "s").agg(F.sum("n").alias("n"))
 
 
 class SuffixTree:
-    """States by length with log10 probabilities of the symbols seen after them and of falling back to the parent."""
+    """A tree in memory over one-byte symbols, of the same rule: states by length with log10 probabilities of the
+    symbols seen after them and of falling back to the parent. Tables of words are grown by ``_grow``."""
 
     def __init__(self, contexts: list[np.ndarray], falls: list[np.ndarray], grams: list[np.ndarray], logs: list[np.ndarray], root: np.ndarray):
         self.contexts, self.falls, self.grams, self.logs, self.root = contexts, falls, grams, logs, root
@@ -251,20 +270,56 @@ class SuffixTree:
         return out
 
 
-def _levels(counts: DataFrame, scratch: Scratch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Gram counts by context length, only of contexts frequent enough; their number has a fixed bound."""
-    full = counts.select(F.col("key").alias("g"), "n")
-    total = full.agg(F.sum("n")).first()[0] or 0
-    least, out = max(2.0, LEAST_SHARE * total), []
-    for d in range(DEPTH, -1, -1):
-        grams = full if d == DEPTH else scratch.put(full.groupBy((F.col("g").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))).alias("g")).agg(F.sum("n").alias("n")), "grams")
-        full = grams
-        often = grams.groupBy(F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("m")).where((F.col("m") >= least) | F.lit(d == 0)).select("c")
-        found = grams.withColumn("c", F.shiftright("g", 8)).join(often, "c", "left_semi").select("g", "n").toArrow()
-        keys, n = found.column("g").to_numpy().astype(np.uint64), found.column("n").to_numpy().astype(np.float64)
-        order = np.argsort(keys)
-        out.append((keys[order], n[order]))
-    return out[::-1]
+def _grow(training: DataFrame, words: DataFrame, total: int, texts: int, base: Column, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Written tables of states and of the grams after candidate states, by context length from 1.
+
+    A context is a state if it has LEAST_USES, and its next-word distribution diverges enough from that of its
+    suffix; so are all suffixes of a state. A gram is counted at most as often as its suffix, so a context of n
+    uses whose suffix has m gains at most n ln(m / n) nats; contexts that can reach the evidence neither so nor
+    by a longer one, which takes e times the evidence in uses, are no candidates. This loses no state.
+
+    Grams have p, the probability smoothed towards the suffix's by the number of different next words
+    (Witten-Bell), the shortest towards the base score's; states have fall, the log10 weight of the suffix.
+    """
+    begin, stop = (F.lit(int(x)).cast("long") for x in (BEGIN, STOP))
+    ends = training.sparkSession.range(1 if texts else 0).select(stop.alias("g"), F.lit(texts).cast("long").alias("n"))
+    grams = words.select(F.col("word").alias("g"), "n").unionByName(ends).select("g", "n", F.lit(total).cast("long").alias("n1"), F.lit(0).cast("long").alias("c"), F.lit(total).cast("long").alias("m"), base.alias("p"))
+    tables, contexts = [], []
+    for d in range(1, DEPTH + 1):
+        may = F.col("n") * F.log(F.col("n1") / F.col("n")) >= LEAST_EVIDENCE - 1e-6
+        if d < DEPTH:
+            may = may | (F.col("n") >= int(LEAST_EVIDENCE * np.e))
+        marks = _marks(grams.where((F.col("n") >= LEAST_USES) & may).select("g"), *([BEGIN] if d == 1 else []))
+        counted = scratch.put(_count_grams(training, d, marks), "counted")
+        up = grams.select(F.col("g").alias("s"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("m").alias("m1"), F.col("p").alias("p1"))
+        met = scratch.put(counted.join(up, "s", "left").drop("s"), "met")
+        scratch.drop(counted)
+        evidence = F.sum(F.col("n") * F.log(F.col("n") / F.col("n1"))) + F.sum("n") * F.log(F.min("m1") / F.sum("n"))
+        # a context that only the bit map let in may lack suffixes, and is no state
+        sums = met.groupBy("c").agg(F.sum("n").alias("m"), F.count("*").alias("t"), F.count("n1").alias("k"), F.min("c1").alias("c1"), evidence.alias("e")).where((F.col("k") == F.col("t")) & (F.col("m") >= LEAST_USES))
+        own = (F.col("e") >= LEAST_EVIDENCE) & (F.col("e") >= LEAST_DIVERGENCE * F.col("m"))
+        contexts.append(scratch.put(sums.select("c", "m", "t", "c1", own.alias("own")), "contexts"))
+        grams = scratch.put(met.join(contexts[-1].select("c", "m", "t"), "c").select("g", "c", "n", "n1", "m", "t", "p1", ((F.col("n") + F.col("t") * F.col("p1")) / (F.col("m") + F.col("t"))).alias("p")), "grams")
+        scratch.drop(met)
+        tables.append(grams)
+    states, longer = [], None
+    for found in contexts[::-1]:
+        if longer is not None:
+            found = found.join(longer.select(F.col("c1").alias("c")).distinct().withColumn("up", F.lit(True)), "c", "left").withColumn("own", F.col("own") | F.coalesce("up", F.lit(False)))
+        longer = scratch.put(found.where("own").select("c", "m", "c1", F.log10(F.col("t") / (F.col("m") + F.col("t"))).alias("fall")), "states")
+        states.append(longer)
+    return states[::-1], tables
+
+
+def _head(table: DataFrame, key: str, room: int) -> DataFrame:
+    """The rows of the greatest n, from 2, that fit the room; equal counts are taken or left together."""
+    least, fit = 2, 0
+    for r in table.where("n > 1").groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        if fit + r["c"] > room:
+            least = r["n"] + 1
+            break
+        fit += r["c"]
+    return table.where(F.col("n") >= least).toArrow().sort_by(key)
 
 
 def held_out(id_col: str) -> Column:
@@ -274,11 +329,13 @@ def held_out(id_col: str) -> Column:
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """Trains on the texts that are not held out and scores all texts.
 
-    Tokens are lower-cased words and one end per text. The tree predicts the next symbol from the longest
-    suffix of the text so far that is a state; a symbol shared by several words is split among them by their
-    counts, the tail's by counts with Witten-Bell weight for the unknown word, which, as in the base score, is
-    one token however it is spelled. Words of the head are those that training repeats; so the tail's contexts
-    are learned from words seen once or rarely. Word counts cover every training text.
+    Tokens are lower-cased words and one end per text; each word is a symbol of its own. The tree predicts the
+    next word from the longest suffix of the text so far that is a state. A state multiplies the suffix's
+    probability of any word by its fall, and of the words seen after it by a gain besides; so a score is the
+    base score and one figure for each sequence of up to DEPTH + 1 words in the text. Figures are in written
+    tables and joined by the sequences' 64-bit keys; those of the most frequent sequences (``head_words`` at
+    most, and as many words) are broadcast, which changes no score. An unknown word, as in the base score, is one
+    token however it is spelled. Word counts cover every training text.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per input row.
     A null text counts as empty and has one token, the end; a null id counts as training; repeated rows are
@@ -292,62 +349,83 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = {r["kind"]: (r["kinds"], r["n"]) for r in counts.groupBy("kind").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()}
     (kinds, tokens), trained = sums.get(WORDS, (0, 0)), sums.get(TEXTS, (0, 0))[1]
     words = counts.where(F.col("kind") == WORDS).select(F.col("key").alias("word"), "n")
-    # the least count at which the repeated words still fit the head
-    least, fit = 2, 0
-    for r in words.where("n > 1").groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator():
-        if fit + r["c"] > head_words:
-            least = r["n"] + 1
-            break
-        fit += r["c"]
-    head = words.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    known = head.column("n").to_numpy().astype(np.float64)
-    alphabet = Alphabet(head.column("word").to_numpy().astype(np.uint64), known, tokens - int(known.sum()), kinds - len(known))
-    tree = SuffixTree.grow(_levels(scratch.put(_count_grams(training, alphabet), "grams"), scratch))
-
     total, types = tokens + trained, kinds + (1 if trained else 0)
     below = float(np.log10(total + 0.1 * (types + 1))) if total else 0.0
-    tail_weight = float(max(1, alphabet.tail_words))
-    tail_whole = float(np.log10(alphabet.tail_tokens + tail_weight))
+
+    states, grams = _grow(training, words, total, trained, (F.col("n") + F.lit(0.1)) / F.lit(total + 0.1 * (types + 1)), scratch)
+    falls = states[0].select(F.col("c").alias("word"), "fall")
+    words = scratch.put(words.join(falls, "word", "left").select("word", "n", F.coalesce("fall", F.lit(0.0)).alias("fall")), "falls")
+    begun = falls.where(F.col("word") == F.lit(int(BEGIN))).first()
+    begun = begun["fall"] if begun else 0.0
+    figures = None
+    for s, g in zip(states, grams):
+        gains = g.join(s.select("c"), "c", "left_semi").select(F.col("g").alias("key"), "n", F.log10(1 + F.col("n") / (F.col("t") * F.col("p1"))).alias("v"))
+        figures = gains if figures is None else figures.unionByName(gains).unionByName(s.select(F.col("c").alias("key"), F.col("m").alias("n"), F.col("fall").alias("v")))
+    figures = scratch.put(figures.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "figures")
+    scratch.drop(*grams)
+    marks = [_marks(s.select("c")) for s in states]
+
+    def arrays(table, key: str, *names: str) -> Head:
+        return Head(table.column(key).to_numpy().astype(np.uint64), *[table.column(x).to_numpy().astype(np.float64) for x in names])
+
+    head = arrays(_head(words, "word", head_words), "word", "n", "fall")
+    often = arrays(_head(figures, "key", head_words), "key", "v")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        base_logs, end_log = np.log10(known + 0.1) - below, np.log10(trained + 0.1) - below
+        base_logs, end_log = np.log10(head.figures[0] + 0.1) - below, np.log10(trained + 0.1) - below
         for batch in batches:
-            n_tokens, n_seen, base, score, ends, tails = [], [], [], [], [np.zeros(1, np.int64)], []
+            n_tokens, n_seen, base, gain, lists = [], [], [], [], ([], [])
+            sizes_of: tuple[list, list] = ([], [])
             for _, sizes, hashes in hashed_words(text_bytes(batch.column(1))):
-                found = alphabet.find(hashes)
+                found = head.find(hashes)
                 seen = found >= 0
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                grams, text, _ = alphabet.streams(sizes, found)
-                part = np.bincount(text, tree.log_of(grams), len(sizes))
-                part += np.bincount(owner[seen], alphabet.inside[found[seen]], len(sizes))
-                score.append(part)
                 base.append(np.bincount(owner[seen], base_logs[found[seen]], len(sizes)) + end_log)
+                part = np.bincount(owner[seen], head.figures[1][found[seen]], len(sizes)) + begun
                 n_tokens.append(sizes + 1)
                 n_seen.append(np.bincount(owner[seen], minlength=len(sizes)))
-                tails.append(hashes[~seen].astype(np.int64))
-                ends.append(ends[-1][-1] + np.cumsum(sizes - n_seen[-1]))
+                lists[0].append(hashes[~seen].astype(np.int64))
+                sizes_of[0].append(sizes - n_seen[-1])
+                text, place, keys = sequences(sizes, hashes, DEPTH + 1)
+                left, of = [], []
+                for k in range(1, DEPTH + 1):  # sequences of k + 1 words
+                    at = np.flatnonzero(place >= k)
+                    need = _marked(marks[k - 1], keys[k - 1][at - 1])
+                    if k < DEPTH:
+                        need |= _marked(marks[k], keys[k][at])
+                    at = at[need]
+                    there = often.find(keys[k][at])
+                    hit = there >= 0
+                    part += np.bincount(text[at[hit]], often.figures[0][there[hit]], len(sizes))
+                    left.append(keys[k][at[~hit]])
+                    of.append(text[at[~hit]])
+                left, of = np.concatenate(left), np.concatenate(of)
+                lists[1].append(left[np.argsort(of, kind="stable")].astype(np.int64))
+                sizes_of[1].append(np.bincount(of, minlength=len(sizes)))
+                gain.append(part)
 
             def flat(x: list, kind) -> pa.Array:
                 return pa.array(np.concatenate(x) if x else np.zeros(0), kind)
 
-            lists = pa.ListArray.from_arrays(flat(ends, pa.int32()), flat(tails, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), flat(n_tokens, pa.int64()), flat(n_seen, pa.int64()), flat(base, pa.float64()), flat(score, pa.float64()), lists], names=["rid", "doc_id", "held_out", "n_tokens", "seen", "base", "score", "tail"])
+            tails = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(n) if n else [])), pa.int32()), flat(x, pa.int64())) for x, n in zip(lists, sizes_of)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), flat(n_tokens, pa.int64()), flat(n_seen, pa.int64()), flat(base, pa.float64()), flat(gain, pa.float64()), *tails], names=["rid", "doc_id", "held_out", "n_tokens", "seen", "base", "gain", "tail", "longer"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = scratch.put(rows.select("rid", "text", "doc_id", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, tail array<long>"), "scored")
+    scored = scratch.put(rows.select("rid", "text", "doc_id", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, gain double, tail array<long>, longer array<long>"), "scored")
     rare = scored.select("rid", F.explode("tail").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     count = F.coalesce(F.col("n"), F.lit(0))
-    inside = F.log10(F.when(count > 0, count).otherwise(F.lit(tail_weight))) - tail_whole
     tails = (
         rare.join(words, "word", "left").groupBy("rid")
-        .agg(F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(count + F.lit(0.1)) - F.lit(below))).alias("rest"), F.sum(F.col("times") * inside).alias("rest_score"))
+        .agg(F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(count + F.lit(0.1)) - F.lit(below))).alias("rest"), F.sum(F.col("times") * F.coalesce("fall", F.lit(0.0))).alias("rest_fall"))
     )
+    gains = scored.select("rid", F.explode("longer").alias("key")).join(figures.select("key", "v"), "key").groupBy("rid").agg(F.sum("v").alias("rest_gain"))
     end_known = 1 if trained else 0
-    return scored.drop("tail").join(tails, "rid", "left").select(
+    base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
+    return scored.drop("tail", "longer").join(tails, "rid", "left").join(gains, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0)) + end_known).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain") + F.coalesce("rest_fall", F.lit(0.0)) + F.coalesce("rest_gain", F.lit(0.0))).alias("score"),
     )
 
 

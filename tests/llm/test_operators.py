@@ -401,6 +401,16 @@ def test_suffix_tree_is_a_distribution():
         assert (10 ** tree.log_of(grams)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_suffix_tree_keeps_rare_contexts_of_a_large_table(spark, tmp_path):
+    r = np.random.default_rng(9)
+    filler = [" ".join(f"f{x}" for x in r.integers(0, 300, 40_000)) for _ in range(30)]
+    got = suffixtree.score_texts(plain(spark, tmp_path, filler + ["alpha f2"] * 5), held=F.col("doc_id") == 34).where("doc_id = 34").first()
+    words = got["train_tokens"]
+    assert words > 1_000_000 and 4 < 5e-6 * words
+    # f2 and then the end follow for certain on a word of 4 uses
+    assert got["score"] - got["base_score"] > 8
+
+
 def test_hash_table():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 5000, dtype=np.uint64))
     t = suffixtree.HashTable(keys)
