@@ -401,6 +401,40 @@ def test_suffix_tree_is_a_distribution():
         assert (10 ** tree.log_of(grams)).sum() == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("head", [400_000, 3])
+def test_suffix_tree_of_words(spark, tmp_path, head):
+    r = random.Random(5)
+    phrases = [[f"w{r.randint(0, 40)}" for _ in range(r.randint(3, 9))] for _ in range(25)]
+    texts = [" ".join(w for _ in range(r.randint(0, 12)) for w in (r.choice(phrases) if r.random() < 0.7 else [f"w{r.randint(0, 400)}"])) for _ in range(300)]
+    docs = [["<", *t.split(), ">"] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    after = collections.defaultdict(collections.Counter)
+    for ws in (ws for ws, h in zip(docs, held) if not h):
+        for t in range(1, len(ws)):
+            for d in range(min(t, 3) + 1):
+                after[tuple(ws[t - d : t])][ws[t]] += 1
+    uses = {c: sum(n.values()) for c, n in after.items()}
+    states = set()
+    for c, n in after.items():
+        gain = sum(k * math.log(k / uses[c] * uses[c[1:]] / after[c[1:]][x]) for x, k in n.items()) if c else 0
+        if c and uses[c] >= 2 and gain >= 12 and gain >= 0.01 * uses[c]:
+            states |= {c[i:] for i in range(len(c))}
+    assert {len(c) for c in states} == {1, 2, 3}
+
+    def chance(c, x):
+        if not c:
+            return (after[()][x] + 0.1) / (uses[()] + 0.1 * (len(after[()]) + 1))
+        return (after[c][x] + len(after[c]) * chance(c[1:], x)) / (uses[c] + len(after[c]))
+
+    got = {x["doc_id"]: x["score"] for x in suffixtree.score_texts(plain(spark, tmp_path, texts), head_words=head).collect()}
+    for i, ws in enumerate(docs):
+        want = 0
+        for t in range(1, len(ws)):
+            c = next(c for d in range(min(t, 3), -1, -1) if not (c := tuple(ws[t - d : t])) or c in states)
+            want += math.log10(chance(c, ws[t]))
+        assert got[i] == pytest.approx(want)
+
+
 def test_suffix_tree_keeps_rare_contexts_of_a_large_table(spark, tmp_path):
     r = np.random.default_rng(9)
     filler = [" ".join(f"f{x}" for x in r.integers(0, 300, 40_000)) for _ in range(30)]
