@@ -196,7 +196,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks are compared in full.
     No partners or candidates are dropped, so no link between groups is lost.
 
-    Returns ``doc_id, n_shingles, component_id``, one row per input row, plus ``rid`` to tell rows apart. Words
+    Returns ``doc_id, n_shingles, component_id``, one row per input row, plus ``rid`` to tell rows apart and
+    ``comp``, the number of a row that stands for the component: names may be null or repeated, it is not. Words
     are as in the contract of the query; A-Z count as a-z. A text without words, or null, has an empty set and
     is linked with nothing, so its component is its own id. Null ids are ordinary and rank after all others for
     the component's name; repeated rows have equal sets; an empty table gives an empty result; further columns
@@ -267,9 +268,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = classes.join(groups, classes["rep"] == groups["v"], "left").select("f1", "f2", "least", F.coalesce("comp", "rep").alias("comp"))
     names = scratch.put(named.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
-    final = scratch.put(named.join(names, "comp").select("f1", "f2", "component_id"), "final")
-    linked = profiles.where("n > 0").join(final, ["f1", "f2"]).select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    empty = profiles.where("n = 0").select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    final = scratch.put(named.join(names, "comp").select("f1", "f2", "comp", "component_id"), "final")
+    linked = profiles.where("n > 0").join(final, ["f1", "f2"]).select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "comp")
+    empty = profiles.where("n = 0").select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("rid").alias("comp"))
     return linked.unionByName(empty)
 
 
@@ -316,7 +317,7 @@ def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, simi
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "comp")
 
 
 OP3_SQL = r"""

@@ -37,13 +37,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links at a similarity of 0.8 over five-word shingles.
 
-    The document whose id names the group stays; of repeated rows with that id one stays. Documents without
-    words are in no group and stay.
+    The document whose id names the group stays; of repeated rows with that id one stays, and so does one of a
+    group without ids. Groups are told apart by their links only, so documents with equal ids, or none, are one
+    group only if their texts link. Documents without words are in no group and stay.
     """
     scratch = Scratch(spark, "near")
     groups = scratch.put(similar_groups(docs).where("n_shingles > 0"), "groups")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
-    best = scratch.put(groups.groupBy("component_id").agg(F.min(first).alias("f")).select(F.col("f.rid").alias("rid")), "best")
+    best = scratch.put(groups.groupBy("comp").agg(F.min(first).alias("f")).select(F.col("f.rid").alias("rid")), "best")
     return without(docs, scratch.put(groups.select("rid").join(best, "rid", "left_anti"), "gone"))
 
 

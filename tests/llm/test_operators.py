@@ -276,6 +276,16 @@ def test_similar_groups(spark, tmp_path, monkeypatch, block, report, bands):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcdefgh"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " more"), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[5]), (None, texts[5] + " more"), (7, texts[5]), (9, texts[6]), (None, None), (None, "")]
+    docs = table(spark, tmp_path, [(i, t, "en", "a", 0) for i, t in rows]).coalesce(1)
+    got = pipeline.near_duplicates(spark, docs, "").collect()
+    left = collections.Counter((x["doc_id"], (x["text"] or "")[:2]) for x in got)
+    assert left == collections.Counter([(None, "a0"), (None, "b0"), (None, "c0"), (7, "d0"), (7, "e0"), (7, "f0"), (9, "g0"), (None, ""), (None, "")])
+
+
 def test_components_of_a_long_chain(spark):
     scratch = shared.Scratch(spark, "test")
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (103, 101)], "a long, b long")
