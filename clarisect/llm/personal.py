@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, text_or_empty
+from .shared import bounded_batches, row_number, text_or_empty
 from .trees import Boosted, boost, sigmoid
 
 # The base kinds in the order that breaks ties, and the kinds that only the model adds.
@@ -177,9 +177,10 @@ class SpanModel:
             for kind, b, e, check in base_candidates(text):
                 rows.append((text, kind, b, e, check))
                 labels.append(int(check))
-            for kind, b, e, check in more_candidates(text):
-                rows.append((text, kind, b, e, check))
-                labels.append(0)  # running text has none of these on record; the made-up examples teach them
+            # running text has none of these on record: what fails its own check is none, the rest is not known
+            failed = [(text, *c) for c in more_candidates(text) if not c[3]]
+            rows += failed
+            labels += [0] * len(failed)
         for text, kind, b, e, check, label in made_examples(made):
             rows.append((text, kind, b, e, check))
             labels.append(label)
@@ -211,15 +212,20 @@ class SpanModel:
 
 
 def fit_spans(docs: DataFrame, text_col: str = "text", texts: int = FIT_TEXTS, made: int = FIT_MADE, part: int = 4096) -> SpanModel:
-    """Fits on a sample of about ``texts`` stretches of ``part`` characters around a first digit or at sign.
+    """Fits on a sample of about ``texts`` stretches of ``part`` characters, each around the first digit or at sign
+    from a hashed place in its text on, or around the text's first if none follows.
 
-    The rows are those whose text hash falls under a cut-off set by their number, so no task sends more than its
-    share of the sample.
+    The rows are those whose hash of text and number falls under a cut-off set by their number, so no task sends
+    more than its share of the sample and copies are drawn one by one.
     """
-    at = F.regexp_instr(text_col, F.lit("[0-9@]"))
-    some = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), F.greatest(F.lit(1), at - 200), F.lit(part)).alias("t"))
+    rows = docs.select(row_number(docs.sparkSession).alias("r"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    some = rows.withColumn("h", F.xxhash64("t", "r"))
     share = min(1.0, texts / max(1, some.count()))
-    chosen = some.where(F.shiftrightunsigned("h", 11) < F.lit(int(share * 2**53)))
+    place = F.pmod(F.xxhash64("r", "t"), F.length("t")).cast("int")
+    later = F.regexp_instr(F.substring(F.col("t"), F.col("o") + 1, F.length("t")), F.lit("[0-9@]"))
+    at = F.when(F.col("l") > 0, F.col("o") + F.col("l")).otherwise(F.regexp_instr("t", F.lit("[0-9@]")))
+    drawn = some.where(F.shiftrightunsigned("h", 11) < F.lit(int(share * 2**53))).withColumn("o", place).withColumn("l", later)
+    chosen = drawn.select("h", F.substring(F.col("t"), F.greatest(F.lit(1), at - 200), F.lit(part)).alias("t"))
     return SpanModel.fit([r["t"] for r in sorted(chosen.collect(), key=lambda r: (r["h"], r["t"]))], made)
 
 

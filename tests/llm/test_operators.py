@@ -347,6 +347,22 @@ def test_base_spans_and_additions():
     assert personal.redact("to a@b.org now", "email:3:10") == "to [email] now"
 
 
+def test_unlabelled_candidates_do_not_teach_against_their_kind():
+    r = random.Random(8)
+    texts = [f"call ({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)} please, ssn {r.randint(100, 599)}-{r.randint(10, 99)}-{r.randint(1000, 9999)} ok" for _ in range(2000)]
+    model = personal.SpanModel.fit(texts)
+    kinds = {personal.KINDS[k] for t in texts[:5] for _, k, _ in model.spans(t)[1]}
+    assert kinds == {"phone_local", "ssn"}
+
+
+def test_personal_stretches_are_drawn_from_all_of_a_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(personal.SpanModel, "fit", classmethod(lambda cls, texts, made: texts))
+    text = "at 1 first " + "word " * 2000 + "and 77 last"
+    drawn = personal.fit_spans(plain(spark, tmp_path, [text] * 400), texts=100)
+    assert 50 < len(drawn) < 150
+    assert any("77 last" in t for t in drawn) and all("77" in t or "at 1 first" in t for t in drawn)
+
+
 def test_personal_digest(spark, tmp_path):
     text = "ß a.b@c.org 10.0.0.1 4111 1111 1111 1111 +1 (212) 555-0199"
     docs = plain(spark, tmp_path, [text, None])
