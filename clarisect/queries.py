@@ -5,6 +5,7 @@ Frame F4 makes everything exact: four integer features of ``lineitem``, literal
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from .plans import expand as expansion
 from .plans.grow import grow_levelwise, grow_quartile, grow_recursive
 from .plans.model import ExplainableKMeans
 from .plans.tree import Node, Tree
+from .sources import tables
 
 CENTERS = [[10, 20, 2, 2], [25, 45, 8, 4], [40, 80, 3, 6], [35, 60, 9, 1]]
 SPLITS = [
@@ -102,9 +104,12 @@ def sql(body: str) -> str:
 
 @query("SELECT l_orderkey::DOUBLE AS l_orderkey, l_quantity, l_tax FROM lineitem")
 def csv_cast_scan(spark, sf_dir):
-    """Every column goes through its text and back to double, as from a CSV."""
-    text = read(spark, sf_dir, "lineitem").select(*[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_quantity", "l_tax")])
-    return features.cast_doubles(text, strict=False)
+    """The whole table is written as CSV to the shared folder, scanned, and every column cast to double."""
+    from .llm.shared import shared_folder  # the subpackage is optional
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    tables.write_csv(read(spark, sf_dir, "lineitem"), path)
+    return features.cast_doubles(tables.read_csv(spark, path), strict=False).select("l_orderkey", "l_quantity", "l_tax")
 
 
 @query(sql("SELECT l_orderkey, l_linenumber, [f0::DOUBLE, f1::DOUBLE, f2::DOUBLE, f3::DOUBLE] AS features FROM f4"))

@@ -239,6 +239,16 @@ def test_unknown_bin_is_printed(spark):
     assert "[bin 3]" in tree.lines([[0.5], [1.0]])[0] and "(f1 <= 4.000)" in tree.lines([[], [1.0, 2.0, 3.0, 4.0]])[0]
 
 
+def test_csv_cast_scan_reads_csv(spark):
+    from clarisect import queries
+
+    d = "/root/testdata/sf0.001"
+    got = queries.csv_cast_scan(spark, d)
+    assert got.inputFiles() and all(".csv" in f for f in got.inputFiles())
+    want = spark.read.parquet(f"{d}/lineitem.parquet").select(*[F.col(c).cast("double") for c in ("l_orderkey", "l_quantity", "l_tax")])
+    assert got.dtypes == want.dtypes and got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_csv_round_trips(spark, tmp_path):
     import gzip
 
