@@ -18,6 +18,7 @@ from .plans.grow import grow_levelwise, grow_quartile, grow_recursive
 from .plans.model import ExplainableKMeans
 from .plans.tree import Node, Tree
 from .sources import tables
+from .sources.scratch import shared_folder
 
 CENTERS = [[10, 20, 2, 2], [25, 45, 8, 4], [40, 80, 3, 6], [35, 60, 9, 1]]
 SPLITS = [
@@ -105,8 +106,6 @@ def sql(body: str) -> str:
 @query("SELECT l_orderkey::DOUBLE AS l_orderkey, l_quantity, l_tax FROM lineitem")
 def csv_cast_scan(spark, sf_dir):
     """The whole table is written as CSV to the shared folder, scanned, and every column cast to double."""
-    from .llm.shared import shared_folder  # the subpackage is optional
-
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     tables.write_csv(read(spark, sf_dir, "lineitem"), path)
     return features.cast_doubles(tables.read_csv(spark, path), strict=False).select("l_orderkey", "l_quantity", "l_tax")
