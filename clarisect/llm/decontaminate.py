@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hashed_words, row_number, text_bytes
+from ..sources.scratch import numbered as with_numbers
+from .shared import Scratch, hashed_words, text_bytes
 
 #: Words in a window of a benchmark item, and the words by which a proximity match may be wider.
 WINDOW = 10
@@ -104,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     scratch = Scratch(spark, "decontaminate")
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
     carry = [c for c in (carry or [id_col]) if c not in made]
-    texts = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry], F.col(text_col).cast("string").alias("text"))
+    texts = with_numbers(docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col(text_col).cast("string").alias("text")), scratch)
     found = scratch.put(_windows(benchmark, item_col, item_text_col, window).select(F.xxhash64("terms").alias("win"), "item", "terms"), "windows")
     windows = scratch.put(found.groupBy("win").agg(F.first("terms").alias("terms")), "distinct")
     slots = windows.select("win", F.posexplode("terms").alias("offset", "term"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, row_number, slim
+from ..sources.scratch import as_table, numbered, slim
+from .shared import Scratch
 
 #: Words in a block; the schedule gives one block per slot.
 BLOCK_WORDS = 256
@@ -101,10 +102,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     scratch = Scratch(spark, "mixing")
     made = ("size", "source_size", "target", "taken")
     carry = [c for c in (carry or [id_col]) if c not in made]
-    keyed = docs.select(
-        row_number(spark).alias("rid"), F.col(id_col).alias("id"), word_count(text_col).alias("size"),
+    docs = as_table(docs, scratch)
+    keyed = numbered(docs.select(
+        F.col(id_col).alias("id"), word_count(text_col).alias("size"),
         F.coalesce(F.col(source_col), F.lit("")).alias("name"), F.col(source_col).isNull().alias("unnamed"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "id", "size"))
+    ), scratch).withColumn("h", F.xxhash64(F.lit(seed), "id", "size", "rid"))
     keyed = scratch.put(keyed, "sizes")
     found = sorted(keyed.groupBy("unnamed", "name").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["unnamed"], r["name"]))
     sizes = [r["size"] for r in found]
@@ -148,7 +150,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if carry == [id_col]:
         out = out.withColumn(f"c_{id_col}", F.col("id"))
     else:  # texts and other columns are read again and meet their row's figures once
-        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(slim(scratch.put(out.drop("id"), "out")), "rid")
+        out = numbered(docs.select(*[F.col(c).alias(f"c_{c}") for c in carry]), scratch).join(slim(scratch.put(out.drop("id"), "out")), "rid")
     out = out.select(*[F.col(f"c_{c}").alias(c) for c in carry], "size", "source_size", "target", "taken")
     return out, slots.select("slot", "src", "block", "words")
 

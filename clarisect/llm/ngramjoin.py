@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hashed_words, mix64, row_number, text_bytes
+from ..sources.scratch import numbered, slim
+from .shared import Scratch, hashed_words, mix64, text_bytes
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -22,8 +23,10 @@ SKETCH_BITS, REPORT = 22, 8
 SPARE = 10
 #: Ratio of the sizes of neighbouring size classes.
 SIZE_STEP = 1.05
-#: Documents in a block of a cluster; a task compares two blocks.
-BLOCK = 512
+#: Documents and shingles in a block of a cluster, about; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 19
+#: Rounds in which a document, then a group, is compared with one leader.
+ROUNDS = 2
 #: Bits that tell which texts a comparison needs; more texts than bits only make the filter idle.
 NEED_BITS = 24
 
@@ -185,54 +188,112 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("v", "comp")
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit map, of a fixed size, of a table's one column of 64-bit keys."""
+    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - NEED_BITS) + 1  # Spark counts bits from 1
+    found = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    packed = np.zeros(1 << (NEED_BITS - 3), np.uint8)
+    for r in found:
+        bits = np.frombuffer(r["bits"], np.uint8)
+        packed[(r["bucket"] - 1) * len(bits) :][: len(bits)] = bits
+    return packed
+
+
+def _crossing(rows: DataFrame, packed: np.ndarray, similarity: int) -> DataFrame:
+    """Of each document (rid, n, comp, prefix) the entries whose bit is set, one row each; documents that cannot have
+    enough of them are closed here."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n, prefix = batch.column(1).to_numpy(), batch.column(3)
+            sizes = np.diff(prefix.offsets.to_numpy())
+            value = prefix.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), sizes)
+            bit = (value.view(np.uint64) >> np.uint64(64 - NEED_BITS)).astype(np.int64)
+            there = (packed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            enough = np.bincount(owner[there], minlength=len(n)) >= _at_least(n, similarity)
+            there &= enough[owner]
+            at = pa.array(owner[there])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 1, 2)), pa.array(value[there])], names=["rid", "n", "comp", "tok"])
+
+    return rows.select("rid", "n", "comp", "prefix").mapInArrow(run, "rid long, n long, comp long, tok long")
+
+
+def _at_least(n: np.ndarray, similarity: int) -> np.ndarray:
+    """How many of its listed shingles a set of n shares at least with any set that links: a link lacks at most
+    n - needed of them."""
+    return _listed(n, similarity) - (n - (similarity * n + 99) // 100)
+
+
+def _leaders(texts: DataFrame, reps: DataFrame, scratch: Scratch, k: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) from bands of minima: each document is compared with one leader of its bands, then each
+    group that has formed with one document of each other group that a band still joins it to."""
+    keyed = scratch.put(reps.select("rid", "n", F.explode("bands").alias("band")), "bands")
+    leaders = scratch.put(keyed.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("band", F.col("l.rid").alias("a"), F.col("l.n").alias("m")), "leaders")
+    close = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
+    offers = scratch.put(keyed.join(leaders, "band").where((F.col("a") != F.col("rid")) & close).groupBy("a", F.col("rid").alias("b")).agg(F.count("*").alias("bands")), "offers")
+    best = F.max(F.struct("bands", (-F.col("a")).alias("a")))
+    tried = scratch.put(offers.groupBy("b").agg(best.alias("x")).select((-F.col("x.a")).alias("a"), "b"), "pairs")
+    links = scratch.put(_linked(texts, tried, scratch, k, similarity), "links")
+    groups = components(links, scratch)
+    for _ in range(1, ROUNDS):
+        a, b = (slim(groups).select(F.col("v").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+        apart = offers.join(tried, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
+        sides = [F.least("ca", "cb").alias("one"), F.greatest("ca", "cb").alias("other")]
+        more = scratch.put(apart.groupBy(*sides).agg(F.max(F.struct("bands", "a", "b")).alias("x")).select("x.a", "x.b"), "pairs")
+        if more.isEmpty():
+            break
+        found = scratch.put(_linked(texts, more, scratch, k, similarity), "links")
+        links = links.unionByName(found)
+        groups = components(links, scratch)
+    return links, groups
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Joins documents whose sets of k-word shingles have at least the given Jaccard similarity, into components.
 
     Equal sets are one class, of which one row is compared. Bands of minima partition the classes into groups
-    of similar documents, linked to a leader after full comparison. The token-group matrix holds the rarest
+    of similar documents, each linked to one leader after full comparison. The token-group matrix holds the rarest
     shingles of every document by group. A document that links outside its group finds all but a few of these
     among the tokens of other groups, of documents of its size; one that does not is closed, and so, step by
-    step, are those that only closed documents made look alike. What is still connected is opened: pairs of
-    blocks are compared in full.
-    No partners or candidates are dropped, so no link between groups is lost.
+    step, are those that only closed documents made look alike. What is still connected is opened: blocks of
+    different groups are compared in full. Of the links between two groups one is kept, as the result is the
+    components: no pairs within a group are formed or given out.
+    No partners or candidates are dropped, so no two groups that a link joins stay apart.
 
     Returns ``doc_id, n_shingles, component_id``, one row per input row, plus ``rid`` to tell rows apart and
     ``comp``, the number of a row that stands for the component: names may be null or repeated, it is not. Words
     are as in the contract of the query; A-Z count as a-z. A text without words, or null, has an empty set and
     is linked with nothing, so its component is its own id. Null ids are ordinary and rank after all others for
     the component's name; repeated rows have equal sets; an empty table gives an empty result; further columns
-    are not returned. ``docs`` must read the same rows in the same order each time, as a table does.
+    are not returned.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngramjoin")
-    texts = docs.select(row_number(spark).alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), scratch)
     weights = _sketch(texts, k, scratch)
     profiles = scratch.put(_profiles(texts, weights, k, similarity), "profiles")
     classes = scratch.put(profiles.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")
     reps = profiles.select("rid", "n", "bands", "prefix").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-
-    def close(n: str, m: str):
-        return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
-
-    keyed = scratch.put(reps.select("rid", "n", F.explode("bands").alias("band")), "bands")
-    leaders = scratch.put(keyed.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("band", F.col("l.rid").alias("a"), F.col("l.n").alias("m")), "leaders")
-    tried = scratch.put(keyed.join(leaders, "band").where((F.col("a") != F.col("rid")) & close("n", "m")).select("a", F.col("rid").alias("b")).distinct(), "pairs")
-    links = scratch.put(_linked(texts, tried, scratch, k, similarity), "links")
-    groups = components(links, scratch)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(groups.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    reps = scratch.put(reps, "reps")
+    links, groups = _leaders(texts, reps, scratch, k, similarity)
+    scratch.release()
 
     # a document that links misses at most n - needed of its own entries in the other one
     needed = F.ceil(F.lit(similarity) * F.col("n") / F.lit(100) - F.lit(1e-9))
     at_least = F.least(F.col("n"), F.col("n") - needed + 1 + F.expr(f"{SPARE} * n div 100")) - (F.col("n") - needed)
-    cell = Window.partitionBy("tok")
-    own = Window.partitionBy("rid")
 
-    def qualifying(rows: DataFrame) -> DataFrame:
+    def shared_cells(rows: DataFrame) -> DataFrame:
+        """Tokens in the unions of two groups or more."""
+        return scratch.put(rows.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tok"), "cells")
+
+    def qualifying(rows: DataFrame, cells: DataFrame) -> DataFrame:
         """Entries shared with another group, of documents that have enough of them."""
-        crossed = rows.withColumn("c1", F.min("comp").over(cell)).withColumn("c2", F.max("comp").over(cell)).where("c1 < c2").drop("c1", "c2")
-        return crossed.withColumn("c", F.count("*").over(own)).where(F.col("c") >= at_least).drop("c")
+        crossed = scratch.put(rows.join(cells, "tok", "left_semi"), "crossed")
+        enough = crossed.groupBy("rid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= at_least).select("rid")
+        return crossed.join(scratch.put(enough, "enough"), "rid", "left_semi").select("rid", "n", "comp", "tok")
 
     def sized(rows: DataFrame) -> DataFrame:
         """Entries of documents that have enough of them among documents of some one size.
@@ -253,20 +314,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         counts = met.groupBy("rid", "n", "other").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(first, second))
         return rows.join(scratch.put(counts.select("rid").distinct(), "stay"), "rid", "left_semi")
 
-    entries = scratch.put(qualifying(labelled(reps.select("rid", "n", "prefix")).select("rid", "n", "comp", F.posexplode("prefix").alias("i", "tok"))), "entries")
+    # the few documents in groups of several are told by a table; every other one is a group of its own
+    matrix = reps.join(slim(groups).select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    cells = shared_cells(matrix.select("comp", F.explode("prefix").alias("tok")))
+    entries = scratch.put(qualifying(_crossing(matrix, _bitmap(cells), similarity), cells), "entries")
+    scratch.release()
     # groups whose entries cannot add up to a link are closed, which may close others
     size = entries.count()
     before = 2 * size
     while 0 < size < 0.8 * before:
         last, before = entries, size
-        entries = scratch.put(qualifying(sized(entries)), "entries")
-        scratch.drop(last)
+        rows = scratch.put(sized(entries), "sized")
+        entries = scratch.put(qualifying(rows, shared_cells(rows)), "entries")
+        scratch.drop(last, rows)
         size = entries.count()
     if size:
         links = links.unionByName(_opened(texts, entries, scratch, k, similarity))
         groups = components(scratch.put(links, "links"), scratch)
 
-    named = classes.join(groups, classes["rep"] == groups["v"], "left").select("f1", "f2", "least", F.coalesce("comp", "rep").alias("comp"))
+    named = classes.join(slim(groups).select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", "least", F.coalesce("comp", "rep").alias("comp"))
     names = scratch.put(named.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
     final = scratch.put(named.join(names, "comp").select("f1", "f2", "comp", "component_id"), "final")
     linked = profiles.where("n > 0").join(final, ["f1", "f2"]).select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "comp")
@@ -275,24 +341,42 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
-    """Links between documents of different groups that common entries still connect.
+    """A link between any two groups that common entries still connect and that have one.
 
-    Documents that entries connect form a cluster; a cluster is cut into blocks, and each pair of blocks goes
-    to a task of its own, which counts the common shingles of all its pairs in one matrix and gives out links.
+    Documents that entries connect form a cluster. A large group of a cluster is cut into blocks of its own, all
+    small ones share blocks; each pair of blocks that does not lie in one group goes to a task of its own, which
+    counts the common shingles of its pairs in a matrix and gives out one link for two groups.
     """
     first = scratch.put(entries.groupBy("tok").agg(F.min("rid").alias("f")), "first")
     edges = entries.select("rid", "tok").join(first, "tok").where("rid <> f").select(F.col("rid").alias("a"), F.col("f").alias("b")).distinct()
     clusters = components(scratch.put(edges, "edges"), scratch).select(F.col("v").alias("rid"), F.col("comp").alias("cluster"))
-    sizes = scratch.put(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    members = entries.select("rid", "n", "comp").distinct().join(clusters, "rid").join(sizes, "cluster")
-    rows = _needed(texts, scratch.put(members, "members")).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "n", "comp", "text")
+    members = scratch.put(entries.select("rid", "n", "comp").distinct().join(clusters, "rid"), "members")
+
+    def blocks(rows: str, shingles: str):
+        return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+    parts = members.groupBy("cluster", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("words")).withColumn("large", blocks("rows", "words") > 1)
+    owner = F.when(F.col("large"), F.col("comp")).otherwise(F.lit(-1))
+    parts = scratch.put(parts.withColumn("owner", owner), "parts")
+    cut = scratch.put(parts.groupBy("cluster", "owner").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words")).select("cluster", "owner", blocks("rows", "words").alias("blocks")), "cut")
+    block = F.xxhash64("cluster", "owner", "i")
+    own = cut.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "owner", block.alias("x"))
+    other = own.select("cluster", F.col("owner").alias("owner2"), F.col("x").alias("y"))
+    pairs = own.join(other, "cluster").where("(x < y AND owner <> owner2) OR (x <= y AND owner = -1 AND owner2 = -1)").select("x", "y")
+    pairs = scratch.put(pairs.withColumn("pair", F.monotonically_increasing_id()), "block_pairs")
+    sides = pairs.select("pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    placed = members.join(parts.select("cluster", "comp", "owner"), ["cluster", "comp"]).join(cut, ["cluster", "owner"]).withColumn("i", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    placed = scratch.put(placed.select("rid", "n", "comp", block.alias("block")), "placed")
+    rows = scratch.put(_needed(texts, placed), "rows")
+    dealt = rows.join(sides, "block").select("pair", "block", "rid", "n", "comp", "text")
 
     def compare(found):
         import pyarrow as pa
 
-        rid, n, comp = (found.column(c).to_numpy() for c in ("rid", "n", "comp"))
+        order = np.argsort(found.column("block").to_numpy(), kind="stable")
+        found = found.take(pa.array(order))
+        rid, n, comp, side = (found.column(c).to_numpy() for c in ("rid", "n", "comp", "block"))
+        middle = int(np.searchsorted(side, side[-1], "left"))  # 0: a block with itself
         owner, token = [], []
         for first, sizes, words in hashed_words(text_bytes(found.column("text").combine_chunks())):
             text, value = shingles(sizes, words, k)
@@ -301,19 +385,23 @@ def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, simi
         owner, (_, token, times) = np.concatenate(owner), np.unique(np.concatenate(token), return_inverse=True, return_counts=True)
         owner, token = owner[times[token] > 1], token[times[token] > 1]  # what one document has alone counts in n
         kinds, token = np.unique(token, return_inverse=True)
-        common = np.zeros((len(rid), len(rid)), np.float32)
+        left = len(rid) if middle == 0 else middle
+        common = np.zeros((left, len(rid) - middle), np.float32)
         by = np.argsort(token, kind="stable")
         for at in range(0, len(kinds), 2048):
             lo, hi = np.searchsorted(token[by], (at, at + 2048))
             part = np.zeros((len(rid), 2048), np.float32)
             part[owner[by[lo:hi]], token[by[lo:hi]] - at] = 1
-            common += part @ part.T
-        a, b = np.nonzero(np.triu(common, 1))
+            common += part[:left] @ part[middle:].T
+        a, b = np.nonzero(np.triu(common, 1) if middle == 0 else common)
         both = common[a, b].astype(np.int64)
+        b = b + middle
         keep = (comp[a] != comp[b]) & (100 * both >= similarity * (n[a] + n[b] - both))
-        return pa.table([pa.array(rid[a[keep]]), pa.array(rid[b[keep]])], names=["a", "b"])
+        a, b = a[keep], b[keep]
+        _, one = np.unique(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])]), axis=1, return_index=True)
+        return pa.table([pa.array(rid[a[one]]), pa.array(rid[b[one]])], names=["a", "b"])
 
-    return scratch.put(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "more")
+    return scratch.put(dealt.groupBy("pair").applyInArrow(compare, "a long, b long"), "more")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, row_number, text_or_empty
+from ..sources.scratch import numbered
+from .shared import Scratch, bounded_batches, text_or_empty
 from .trees import Boosted, boost, sigmoid
 
 # The base kinds in the order that breaks ties, and the kinds that only the model adds.
@@ -218,7 +219,7 @@ def fit_spans(docs: DataFrame, text_col: str = "text", texts: int = FIT_TEXTS, m
     The rows are those whose hash of text and number falls under a cut-off set by their number, so no task sends
     more than its share of the sample and copies are drawn one by one.
     """
-    rows = docs.select(row_number(docs.sparkSession).alias("r"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    rows = numbered(docs.select(F.col(text_col).alias("t")), Scratch(docs.sparkSession, "personal")).withColumnRenamed("rid", "r").where(F.col("t").rlike("[0-9@]"))
     some = rows.withColumn("h", F.xxhash64("t", "r"))
     share = min(1.0, texts / max(1, some.count()))
     place = F.pmod(F.xxhash64("r", "t"), F.length("t")).cast("int")

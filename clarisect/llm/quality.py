@@ -11,6 +11,8 @@ from .trees import Node, boost, sigmoid
 #: Rows of labels that the fit may use, about.
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
+#: Fixed value: white space between words.
+SPACE = " \t\n\x0b\f\r"
 #: Trees grown for rules, their depth, and the penalties tried, largest first.
 TREES, DEPTH = 40, 3
 PENALTIES = (0.03, 0.01, 0.003, 0.001, 0.0003)
@@ -18,6 +20,7 @@ PENALTIES = (0.03, 0.01, 0.003, 0.001, 0.0003)
 
 def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     """Adds a column ``__<name>`` for each statistic of a text, all inside the JVM; an empty text has 0 for each.
+    No column of ``docs`` may start with two underscores.
 
     The steps are projections of their own, with plain columns, so that the optimizer computes the words, the
     lines and each statistic once, however many expressions use them.
@@ -32,9 +35,7 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
 
     own = docs.columns
     stats = {
-        # the added 0 depends on the row's place, which keeps a filter on the score from being computed a second
-        # time below these projections, with every statistic once for each rule
-        "words": n_words.cast("double") + F.monotonically_increasing_id() * 0.0,
+        "words": n_words.cast("double"),
         "word_length": share(n, n_words),
         "distinct_words": share(F.size(F.array_distinct(words)), n_words),
         "repeated_next": share(found(r"(?<![^\s])([^\s]++)\s(?=\1(?![^\s]))"), n_words),
@@ -48,8 +49,9 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     }
     return (
         docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-        .select("*", F.length("__text").alias("__n"), F.split("__text", r"[\x20\x09-\x0D]+").alias("__words_list"), F.split("__text", "\n").alias("__lines_list"))
-        .select("*", F.when(n == 0, 0).otherwise(F.size(words)).alias("__n_words"), F.size(lines).alias("__n_lines"))
+        .select("*", F.length("__text").alias("__n"), F.btrim("__text", F.lit(SPACE)).alias("__trimmed"), F.split("__text", "\n").alias("__lines_list"))
+        .select("*", F.split("__trimmed", r"[\x20\x09-\x0D]+").alias("__words_list"))
+        .select("*", F.when(F.col("__trimmed") == "", 0).otherwise(F.size(words)).alias("__n_words"), F.size(lines).alias("__n_lines"))
         .select(*own, *[c.alias(f"__{name}") for name, c in stats.items()])
     )
 
@@ -142,13 +144,16 @@ class RuleEnsemble:
         return cls([r for r, _ in used], [float(v) for _, v in used], float(w[-1]))
 
     def probability(self, columns: list[Column]) -> Column:
-        total: Column = F.lit(self.intercept)
+        """The weights of the rules that hold, summed in an array: its function is evaluated beside the generated code
+        of the statistics, whose methods would else grow past what the JVM compiles."""
+        terms = []
         for rule, weight in zip(self.rules, self.weights):
             test = None
             for f, low, high in rule:
                 for c in ([columns[f] > low] if low is not None else []) + ([columns[f] <= high] if high is not None else []):
                     test = c if test is None else test & c
-            total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
+            terms.append(F.when(test, F.lit(weight)).otherwise(F.lit(0.0)))
+        total = F.aggregate(F.array(*terms), F.lit(self.intercept), lambda a, x: a + x) if terms else F.lit(self.intercept)
         return 1 / (1 + F.exp(-total))
 
 
@@ -178,11 +183,12 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id",
 
     A null text counts as empty and is scored; a null id is never held out; repeated rows score alike; an
     empty table gives an empty result. Without usable labels of both kinds the score is the labels' mean, 0.5
-    with none.
+    with none. Write the scores before filtering by them: Spark would compute a filter's statistics a second time.
     """
-    scored = with_statistics(docs.drop("held_out", "score", "predicted"), text_col)
-    scored = scored.withColumn("score", model.probability([F.col(f"__{n}") for n in NAMES])).drop(*[f"__{n}" for n in NAMES])
-    return scored.withColumn("held_out", held_out(id_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in own])
+    scored = with_statistics(rows, f"c_{text_col}").withColumn("score", model.probability([F.col(f"__{n}") for n in NAMES]))
+    return scored.select(*[F.col(f"`c_{c}`").alias(c) for c in own], "score", held_out(f"c_{id_col}").alias("held_out"), (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, _BYTE, _STEP, _STEP_INVERSE, mix64, powers, row_number, text_bytes
+from ..sources.scratch import numbered
+from .shared import BYTE, STEP, STEP_INVERSE, Scratch, mix64, powers, text_bytes
 
 LENGTH = 400
 GRAM = 200
@@ -32,8 +33,8 @@ class Prefix:
     def __init__(self, data: bytes):
         raw = np.frombuffer(data, np.uint8)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * powers(_STEP, len(raw), "up"), dtype=np.uint64, out=self.sums[1:])
-        self.down = powers(_STEP_INVERSE, len(raw) + 1, "down")
+        np.cumsum(BYTE[raw] * powers(STEP, len(raw), "up"), dtype=np.uint64, out=self.sums[1:])
+        self.down = powers(STEP_INVERSE, len(raw) + 1, "down")
 
     def of(self, lo, hi) -> np.ndarray:
         return mix64((self.sums[hi] - self.sums[lo]) * self.down[lo])
@@ -214,13 +215,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Strings are judged on the input, within or across texts, never across the end of one. Returns ``doc_id,
     n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the remaining bytes, with ``keep_text``), one row
     per input row. A null text counts as empty; null ids and repeated rows are ordinary, so a repeated row's
-    long strings repeat; an empty table gives an empty result; further columns are not returned. ``docs`` must
-    read the same rows in the same order each time, as a table does.
+    long strings repeat; an empty table gives an empty result; further columns are not returned.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     gram = gram or max(1, length // 2)
-    rows = docs.select(row_number(spark).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    rows = numbered(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id")), scratch)
     ranges = repeated_starts(rows.select("rid", "text"), scratch, length, gram, part)
     per_text = scratch.put(ranges.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, row_number, text_or_empty
-from .shared import slim as slim_side
+from ..sources.scratch import as_table, numbered
+from ..sources.scratch import slim as slim_side
+from .shared import Scratch, text_or_empty
 
 LOWEST = -(2**63)
 SHARDS = 16
@@ -19,6 +20,8 @@ RANGES_PER_SHARD = 64
 SAMPLES_PER_RANGE = 16
 #: Copies of one text stay together unless they hold more than this share of a shard.
 GROUP_SHARE = 0.05
+#: Bits of a key that tell repeated rows of one text and id apart; the others are the id's.
+ROW_BITS = 24
 
 
 def _range_udf(cut_h: np.ndarray, cut_d: np.ndarray, bytes_before: np.ndarray, rows_before: np.ndarray):
@@ -56,15 +59,15 @@ def _quantiles(keys: list[tuple[int, int]], weights: list[float], pieces: int) -
 def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, ranges_per_shard: int = RANGES_PER_SHARD, group_share: float = GROUP_SHARE) -> DataFrame:
     """Deals records into ``shards`` of near-equal bytes along one sorted key space.
 
-    The key is (hash of the text, hash of the id), so equal texts are neighbours. A size-weighted key sample
+    The key is (hash of the text, hash of the id, then of the row), so equal texts are neighbours. A size-weighted key sample
     of bounded size gives quantile boundaries for fine ranges; ranges that turn out overfull are subdivided by
     a fresh sample of their own, within a group of equal texts by id. Exact range sums then place every record
     in the global order, and a record's middle byte decides its shard, so a shard misses its share by less than
     the documents or small groups at its two ends.
 
     Returns ``carry`` (the id by default) plus ``size, text_crc32, law, shard, slot, grown_shard, range``.
-    Size is UTF-8 bytes plus 1, a null text counting as empty. Null ids and repeated rows are ordinary records;
-    repeated rows share a key and hence a range. An empty table gives an empty result. A carried column whose
+    Size is UTF-8 bytes plus 1, a null text counting as empty. Null ids are ordinary;
+    repeated rows have keys of their own, so that any group can be cut. An empty table gives an empty result. A carried column whose
     name is one of the result's is replaced.
     """
     spark = docs.sparkSession
@@ -72,11 +75,10 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc
     text = text_or_empty(text_col)
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "range")
     carry = [c for c in (carry or [id_col]) if c not in made]
-    slim = scratch.put(docs.select(
-        row_number(spark).alias("rid"), F.col(id_col).alias("id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"),
-        F.xxhash64(text).alias("h"), F.xxhash64(F.lit("id"), F.col(id_col)).alias("d"),
-    ), "keys")
+    docs = as_table(docs, scratch)
+    slim = scratch.put(numbered(docs.select(
+        F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("h"),
+    ), scratch).withColumn("d", F.xxhash64(F.lit("id"), "id").bitwiseAND(F.lit(-1 << ROW_BITS)).bitwiseOR(F.xxhash64("rid").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))), "keys")
     total, count = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     pieces = shards * ranges_per_shard
     expected = total / pieces
@@ -136,7 +138,7 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc
     if carry == [id_col]:
         out = placed.withColumn(f"c_{id_col}", F.col("id"))
     else:  # whole records are read again and meet their place once
-        out = docs.select(row_number(spark).alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carry]).join(slim_side(placed.drop("id")), "rid")
+        out = numbered(docs.select(*[F.col(c).alias(f"c_{c}") for c in carry]), scratch).join(slim_side(placed.drop("id")), "rid")
     return out.select(
         *[F.col(f"c_{c}").alias(c) for c in carry], "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("at") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "range",

@@ -1,24 +1,12 @@
-"""Scratch tables, word hashing and small helpers used by the operators here."""
+"""Word hashing and small helpers used by the operators here."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can see.
-
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of the
-    warehouse (which is shared too) serves.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return named.rstrip("/")
+from ..sources.scratch import Scratch as Tables
 
 
 #: Bytes of rows that go to a Python worker at once; Spark's own limit is sixteen times as much.
@@ -32,52 +20,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH}b")
 
 
-class Scratch:
-    """Written intermediate tables: they cut lineage and survive the loss of any executor."""
+class Scratch(Tables):
+    """Scratch tables of an operator, whose Python workers get small batches."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.made = 0
+        super().__init__(spark, name)
         bounded_batches(spark)
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` as Parquet and read it back."""
-        self.made += 1
-        path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def row_number(spark: SparkSession) -> Column:
-    """A number for each row of a table that comes out alike whenever the table is read.
-
-    Spark cuts a small table by the cores it has at the moment, so losing an executor would change the numbers
-    between two reads; the least number of partitions is therefore pinned for the session, unless it is set.
-    """
-    key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-    return F.monotonically_increasing_id()
-
-
-#: Rows of a few numbers up to which the slim side of a join is broadcast; more are joined by shuffle.
-SLIM_ROWS = 500_000
-
-
-def slim(df: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, to be broadcast if its counted size allows."""
-    return F.broadcast(df) if df.count() <= SLIM_ROWS else df
-
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
@@ -92,9 +41,9 @@ _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _MIX = np.random.default_rng(20240229)
-_BYTE = _MIX.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_STEP_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+BYTE = _MIX.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text handled at once, so that the 64-bit temporaries stay near 10 MB each.
 SLICE_BYTES = 1 << 20
 
@@ -146,8 +95,8 @@ def word_table(data: np.ndarray, ends: np.ndarray, alnum: bool = False) -> tuple
     lo = np.flatnonzero(begin)
     hi = np.flatnonzero(end) + 1
     total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_BYTE[low] * powers(_STEP, len(low), "up"), dtype=np.uint64, out=total[1:])
-    spread = (total[hi] - total[lo]) * powers(_STEP_INVERSE, len(low) + 1, "down")[lo]
+    np.cumsum(BYTE[low] * powers(STEP, len(low), "up"), dtype=np.uint64, out=total[1:])
+    spread = (total[hi] - total[lo]) * powers(STEP_INVERSE, len(low) + 1, "down")[lo]
     hashes = mix64(spread ^ (hi - lo).astype(np.uint64))
     return hashes, lo, hi, np.searchsorted(ends, lo, side="right")
 

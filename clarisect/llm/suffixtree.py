@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _STEP, Scratch, hashed_words, mix64, text_bytes
+from .shared import STEP, Scratch, hashed_words, mix64, text_bytes
 
 #: Longest context, in words.
 DEPTH = 3
@@ -142,7 +142,7 @@ def sequences(sizes: np.ndarray, words: np.ndarray, longest: int) -> tuple[np.nd
     keys = [stream]
     for _ in range(longest - 1):
         longer = np.zeros_like(stream)
-        longer[1:] = mix64(keys[-1][:-1] * _STEP + stream[1:])
+        longer[1:] = mix64(keys[-1][:-1] * STEP + stream[1:])
         keys.append(longer)
     return owner, place, keys
 
