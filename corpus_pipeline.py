@@ -10,7 +10,8 @@ from clarisect.llm.mixing import mix
 from clarisect.llm.ngramjoin import similar_groups
 from clarisect.llm.quality import fit_quality, score_quality
 from clarisect.llm.sharding import shard_by_splitters
-from clarisect.llm.shared import Scratch, row_number, slim
+from clarisect.llm.shared import Scratch
+from clarisect.sources.scratch import as_table, numbered, slim
 
 
 def guarded(docs: DataFrame) -> DataFrame:
@@ -24,14 +25,21 @@ def restored(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose numbers are not in ``gone``, a written table, which is broadcast if it is small."""
-    numbered = guarded(docs).withColumn("rid", row_number(docs.sparkSession))
-    return restored(numbered.join(slim(gone), "rid", "left_anti"), docs.columns)
+    rows = numbered(guarded(docs), Scratch(docs.sparkSession, "rows"))
+    return restored(rows.join(slim(gone), "rid", "left_anti"), docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the rule ensemble, fitted on ``labels``, predicts to be of quality."""
+    """Keeps the documents that the rule ensemble, fitted on ``labels``, predicts to be of quality.
+
+    Empty and null texts are scored like any other; so is a row without an id. Without usable labels of both
+    kinds all scores are alike.
+    """
+    scratch = Scratch(spark, "quality")
+    docs = as_table(docs, scratch)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return restored(score_quality(guarded(docs), model, "d_doc_id", "d_text").where("predicted = 1"), docs.columns)
+    scored = score_quality(numbered(docs.select("doc_id", "text"), scratch), model).select("rid", "predicted")
+    return without(docs, scratch.put(scored, "scored").where("predicted = 0").select("rid"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group only if their texts link. Documents without words are in no group and stay.
     """
     scratch = Scratch(spark, "near")
+    docs = as_table(docs, scratch)
     groups = scratch.put(similar_groups(docs).where("n_shingles > 0"), "groups")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     best = scratch.put(groups.groupBy("comp").agg(F.min(first).alias("f")).select(F.col("f.rid").alias("rid")), "best")
@@ -49,9 +58,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a ten-word window of a benchmark item occurs."""
+    """Drops the documents in which a ten-word window of a benchmark item occurs, or a shorter item as a whole.
+
+    Rows are judged one by one, whatever their ids; texts without words stay.
+    """
+    scratch = Scratch(spark, "leaks")
+    docs = as_table(docs, scratch)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), numbered=True)
-    return without(docs, Scratch(spark, "leaks").put(found.where("contaminated").select("rid"), "gone"))
+    return without(docs, scratch.put(found.where("contaminated").select("rid"), "gone"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
