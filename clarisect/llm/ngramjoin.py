@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import numbered, slim
-from .shared import Scratch, hashed_words, mix64, text_bytes
+from .shared import Scratch, bitmap, hashed_words, in_bitmap, mix64, text_bytes
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -188,17 +188,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("v", "comp")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit map, of a fixed size, of a table's one column of 64-bit keys."""
-    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - NEED_BITS) + 1  # Spark counts bits from 1
-    found = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    packed = np.zeros(1 << (NEED_BITS - 3), np.uint8)
-    for r in found:
-        bits = np.frombuffer(r["bits"], np.uint8)
-        packed[(r["bucket"] - 1) * len(bits) :][: len(bits)] = bits
-    return packed
-
-
 def _crossing(rows: DataFrame, packed: np.ndarray, similarity: int) -> DataFrame:
     """Of each document (rid, n, comp, prefix) the entries whose bit is set, one row each; documents that cannot have
     enough of them are closed here."""
@@ -211,8 +200,7 @@ def _crossing(rows: DataFrame, packed: np.ndarray, similarity: int) -> DataFrame
             sizes = np.diff(prefix.offsets.to_numpy())
             value = prefix.flatten().to_numpy()
             owner = np.repeat(np.arange(len(n)), sizes)
-            bit = (value.view(np.uint64) >> np.uint64(64 - NEED_BITS)).astype(np.int64)
-            there = (packed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            there = in_bitmap(packed, value)
             enough = np.bincount(owner[there], minlength=len(n)) >= _at_least(n, similarity)
             there &= enough[owner]
             at = pa.array(owner[there])
@@ -317,7 +305,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the few documents in groups of several are told by a table; every other one is a group of its own
     matrix = reps.join(slim(groups).select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     cells = shared_cells(matrix.select("comp", F.explode("prefix").alias("tok")))
-    entries = scratch.put(qualifying(_crossing(matrix, _bitmap(cells), similarity), cells), "entries")
+    entries = scratch.put(qualifying(_crossing(matrix, bitmap(cells), similarity), cells), "entries")
     scratch.release()
     # groups whose entries cannot add up to a link are closed, which may close others
     size = entries.count()

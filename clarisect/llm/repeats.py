@@ -13,11 +13,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import numbered
-from .shared import BYTE, STEP, STEP_INVERSE, Scratch, mix64, powers, text_bytes
+from ..sources.scratch import slim
+from .shared import BYTE, STEP, STEP_INVERSE, Scratch, bitmap, hashed_words, in_bitmap, mix64, powers, text_bytes
 
 LENGTH = 400
 GRAM = 200
@@ -25,6 +26,8 @@ GRAM = 200
 NODE = 16
 #: Bytes of a text handled at once.
 PART = 2 << 20
+#: Words of a passage that is reported however few bytes it has, and of the strings compared for it.
+PASSAGE, PASSAGE_GRAM = 50, 40
 
 
 class Prefix:
@@ -209,12 +212,75 @@ def repeated_starts(rows: DataFrame, scratch: Scratch, length: int, gram: int, p
     return inside.unionByName(alike).unionByName(settled).unionByName(one)
 
 
+def _least_grams(sizes: np.ndarray, words: np.ndarray, passage: int, gram: int) -> np.ndarray:
+    """Places of the strings of ``gram`` words that are the least by hash in any run of ``passage`` words of a text."""
+    if len(words) < passage:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(STEP, len(words), "up"), dtype=np.uint64, out=total[1:])
+    starts = np.arange(len(words) - gram + 1)
+    grams = mix64((total[gram:] - total[:-gram]) * powers(STEP_INVERSE, len(words) + 1, "down")[starts])
+    width, count = passage - gram + 1, len(words) - passage + 1
+    padded = np.concatenate([grams, np.full(-len(grams) % width, 2**64 - 1, np.uint64)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(padded, axis=1).ravel()
+    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inside = owner[:count] == owner[passage - 1 :]
+    found = np.zeros(len(grams), bool)
+    for j in range(width):
+        found[j : j + count] |= inside & (grams[j : j + count] == least)
+    at = np.flatnonzero(found)
+    return at, grams[at]
+
+
+def repeated_passages(rows: DataFrame, scratch: Scratch, passage: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(rid, n_passage_words): words of a text in strings of ``gram`` words that also start elsewhere.
+
+    Of each run of ``passage`` words the string with the least hash is compared, so every run of so many words that
+    occurs elsewhere, in any case and with any white space, is seen; texts without any are not listed.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ends, places, keys = [np.zeros(1, np.int64)], [], []
+            for _, sizes, words in hashed_words(text_bytes(batch.column(1))):
+                at, key = _least_grams(sizes, words, passage, gram)
+                stops = np.cumsum(sizes)
+                owner = np.searchsorted(stops, at, side="right")
+                places.append(at - (stops - sizes)[owner])
+                keys.append(key.astype(np.int64))
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(owner, minlength=len(sizes))))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (places, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["rid", "place", "key"])
+
+    def pruned(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            key = batch.column(2).flatten()
+            at = np.flatnonzero(in_bitmap(marks, key.to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])), *(x.take(pa.array(at)) for x in (batch.column(1).flatten(), key))], names=["rid", "place", "key"])
+
+    found = scratch.put(rows.select("rid", "text").mapInArrow(run, "rid long, place array<long>, key array<long>").where("size(key) > 0"), "passages")
+    often = scratch.put(found.select(F.explode("key").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "often")
+    marks = bitmap(often)
+    hits = found.mapInArrow(pruned, "rid long, place long, key long").join(often, "key", "left_semi")
+    later = F.lead("place").over(Window.partitionBy("rid").orderBy("place"))
+    words = hits.select("rid", "place").withColumn("words", F.coalesce(F.least(F.lit(gram), later - F.col("place")), F.lit(gram)))
+    return scratch.put(words.groupBy("rid").agg(F.sum("words").alias("n_passage_words")), "passage_words")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, part: int = PART, keep_text: bool = False) -> DataFrame:
     """Removes every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Strings are judged on the input, within or across texts, never across the end of one. Returns ``doc_id,
     n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the remaining bytes, with ``keep_text``), one row
-    per input row. A null text counts as empty; null ids and repeated rows are ordinary, so a repeated row's
+    per input row, and ``n_passage_words``: words in passages of PASSAGE words that occur elsewhere, which may have
+    fewer bytes; of these nothing is removed. A null text counts as empty; null ids and repeated rows are ordinary, so a repeated row's
     long strings repeat; an empty table gives an empty result; further columns are not returned.
     """
     spark = docs.sparkSession
@@ -222,9 +288,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gram = gram or max(1, length // 2)
     rows = numbered(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id")), scratch)
     ranges = repeated_starts(rows.select("rid", "text"), scratch, length, gram, part)
+    passages = repeated_passages(rows, scratch)
+    scratch.release()
     per_text = scratch.put(ranges.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + (", kept binary" if keep_text else "")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -250,10 +318,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rest = text
                 out.append((len(text), removed, spans, hashlib.sha256(rest).hexdigest(), *([rest] if keep_text else [])))
             columns = list(zip(*out)) or [[]] * (5 if keep_text else 4)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
+            first, *more = (pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))
+            columns = [batch.column(0), first, *more[:3], batch.column(3), *more[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", *(["kept"] if keep_text else [])])
 
-    return rows.join(per_text, "rid", "left").select(F.col("id"), "text", "ranges").mapInArrow(run, schema)
+    met = rows.join(per_text, "rid", "left").join(slim(passages), "rid", "left")
+    return met.select(F.col("id"), "text", "ranges", F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words")).mapInArrow(run, schema)
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:

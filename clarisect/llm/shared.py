@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch as Tables
@@ -28,6 +28,27 @@ class Scratch(Tables):
         bounded_batches(spark)
 
 
+#: Bits of a map that tells which keys a table may hold; more keys than bits only make the filter idle.
+MAP_BITS = 24
+
+
+def bitmap(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A bit map, of a fixed size, of a table's one column of 64-bit keys, by their upper bits."""
+    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - bits) + 1  # Spark counts bits from 1
+    found = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    packed = np.zeros(1 << (bits - 3), np.uint8)
+    for r in found:
+        part = np.frombuffer(r["bits"], np.uint8)
+        packed[(r["bucket"] - 1) * len(part) :][: len(part)] = part
+    return packed
+
+
+def in_bitmap(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key (64-bit integers) is set."""
+    bit = keys.view(np.uint64) >> np.uint64(61 - (len(packed).bit_length() - 1))
+    return (packed[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

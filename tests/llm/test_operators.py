@@ -323,6 +323,22 @@ def test_repeats(spark, tmp_path, monkeypatch, length, part):
         assert got[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("passage,gram", [(12, 9), (8, 8)])
+def test_repeated_passages(spark, tmp_path, passage, gram):
+    r = random.Random(passage)
+    base = [[f"w{r.randint(0, 3000)}" for _ in range(r.randint(3, 40))] for _ in range(30)]
+    texts = [r.choice([" ", "\n"]).join(w for _ in range(r.randint(0, 5)) for w in r.choice(base + [[f"x{r.randint(0, 9**9)}"]])) for _ in range(120)] + [None, "", "a " * 50]
+    words = [(t or "").split() for t in texts]
+    grams = collections.Counter(tuple(w[i : i + gram]) for w in words for i in range(len(w) - gram + 1))
+    runs = collections.Counter(tuple(w[i : i + passage]) for w in words for i in range(len(w) - passage + 1))
+    rows = shared.Scratch(spark, "test").put(spark.createDataFrame(list(enumerate((t or "").upper() if i % 2 else t or "" for i, t in enumerate(texts))), "rid long, text string"))
+    got = {x["rid"]: x["n_passage_words"] for x in repeats.repeated_passages(rows, shared.Scratch(spark, "test"), passage, gram).collect()}
+    for i, w in enumerate(words):
+        most = {j for k in range(len(w) - gram + 1) if grams[tuple(w[k : k + gram])] > 1 for j in range(k, k + gram)}
+        must = any(runs[tuple(w[k : k + passage])] > 1 for k in range(len(w) - passage + 1))
+        assert got.get(i, 0) <= len(most) and (got.get(i, 0) >= gram if must else True)
+
+
 # ---- personal data
 
 def brute_spans(t):
@@ -386,6 +402,23 @@ def test_boosting_separates():
     assert 0 < len(ensemble.rules) < 80
 
 
+def test_compiled_score_equals_rules(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(10**6, " \n two words \t", None, None, 0), (None, None, None, None, 0)], docs.schema))
+    model = quality.fit_quality(docs, labels)
+    stats = quality.with_statistics(docs.select("doc_id", "text"), "text").toPandas()
+    x = stats[[f"__{n}" for n in quality.NAMES]].to_numpy()
+    assert stats[stats["doc_id"] == 10**6]["__words"].item() == 2 and len(model.rules) > 3
+    want = trees.sigmoid(sum(w * quality.holds(r, x) for r, w in zip(model.rules, model.weights)) + model.intercept)
+    named = docs.select("*", F.lit("own").alias("__n"), F.lit("own").alias("c_doc_id"), F.lit("own").alias("score"))
+    got = quality.score_quality(named, model).toPandas()
+    assert set(named.columns) | {"held_out", "predicted"} == set(got.columns)
+    key = lambda ids, p: sorted((-1 if i != i else i, v) for i, v in zip(ids, p))
+    a, b = key(stats["doc_id"], want), key(got["doc_id"], got["score"])
+    assert [i for i, _ in a] == [i for i, _ in b] and np.allclose([v for _, v in a], [v for _, v in b])
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
