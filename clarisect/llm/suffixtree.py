@@ -8,22 +8,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import STEP, Scratch, hashed_words, mix64, text_bytes
+from ..sources.scratch import numbered, slim
+from .shared import STEP, Scratch, bitmap, hashed_words, in_bitmap, mix64, text_bytes
 
 #: Longest context, in words.
-DEPTH = 3
-#: Uses from which a context may be a state, whatever the input's size.
+DEPTH = 2
+#: Uses from which a context may be a state, and a next word has a figure of its own, whatever the input's size.
 LEAST_USES = 2
 #: Nats by which a state's next-word distribution must diverge from its parent's: per word, and over all its uses.
 LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.01, 12.0
 #: Words, and longer sequences, whose figures are broadcast, most frequent first; all others are looked up by a join.
 HEAD_WORDS = 400_000
-#: Bits that tell which contexts may be looked up; more contexts than bits only make the filter idle.
-MARK_BITS = 24
+#: Bits that tell which contexts and sequences may be looked up; more of them only make the filter idle.
+MARK_BITS = 27
+#: Places of a text that a task gathers before it gives out its sums, and places that one part of a table stands for,
+#: about: the memory of a task, whatever the input's size.
+GATHERED, PART_PLACES = 1 << 20, 1 << 20
 #: Keys of the places before and after a text's words.
 BEGIN, STOP = np.uint64(0x6A09E667F3BCC909), np.uint64(0x3C6EF372FE94F82B)
-#: Symbols of the small tree in memory, which has one byte for each, and the shift past its last symbol.
-SYMBOLS, BYTES = 115, np.uint64(8)
 TEXTS, WORDS = 0, 1
 
 
@@ -147,166 +149,158 @@ def sequences(sizes: np.ndarray, words: np.ndarray, longest: int) -> tuple[np.nd
     return owner, place, keys
 
 
-def _marks(keys: DataFrame, *more: np.uint64) -> np.ndarray:
-    """A bit map of the keys of a table of one column, of a fixed size; more keys are marked by hand."""
-    bit = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << MARK_BITS) - 1)).cast("int")
-    marks = np.zeros(1 << MARK_BITS, bool)
-    marks[keys.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
-    for key in more:
-        marks[int(key) & ((1 << MARK_BITS) - 1)] = True
-    return np.packbits(marks, bitorder="little")
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix64(keys ^ STEP) >> np.uint64(16)) % np.uint64(parts)).astype(np.int16 if parts < 1 << 15 else np.int32)
 
 
-def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64)
-    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+def _blobs(part: np.ndarray, order: np.ndarray, columns: list[np.ndarray]):
+    """(part, slices) of columns that lie in the given order by part."""
+    part = part[order]
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+    columns = [c[order] for c in columns]
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(part[lo]), [c[lo:hi] for c in columns]
 
 
-def _count_grams(texts: DataFrame, d: int, marks: np.ndarray) -> DataFrame:
-    """How often each word follows each marked context of d words: keys of the gram g, its context c and its suffix s."""
+def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.ndarray, parts: int, base: Head | None) -> DataFrame:
+    """Grams of a context of d words and the word that follows: those with LEAST_USES, with the context's figures.
 
-    def run(batches: Iterator) -> Iterator:
+    Each task gives out its own sums, packed by parts of the contexts, so that a part has all grams of a context;
+    those of the ``hot`` contexts (sorted), which have more uses than a part, are dealt over all parts. Columns: g
+    (the gram), s (the gram without its first word), c (the context), u (the context without its first word), n; m,
+    t, r: the context's uses, different next words with LEAST_USES, and uses before other words; n1: uses of the word
+    where it is in ``base``. For a hot context these are null, and rows without g hold what a part has of them.
+    """
+    names = ("c", "u", "k", "x", "n")
+
+    def is_hot(c: np.ndarray) -> np.ndarray:
+        if not len(hot):
+            return np.zeros(len(c), bool)
+        return hot[np.minimum(np.searchsorted(hot, c), len(hot) - 1)] == c
+
+    def packed(gathered: list):
         import pyarrow as pa
 
+        g, c, u, x = (np.concatenate(a) for a in zip(*gathered))
+        _, first, n = np.unique(g, return_index=True, return_counts=True)
+        c, u, x, n = c[first], u[first], x[first], n.astype(np.uint32)
+        part = np.where(is_hot(c), _part_of(x, parts), _part_of(c, parts))
+        out = [[] for _ in range(6)]
+        for p, (c, u, x, n) in _blobs(part, np.lexsort((c, part)), [c, u, x, n]):
+            at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            k = np.diff(np.append(at, len(c))).astype(np.uint32)
+            for held, value in zip(out, (p, c[at].tobytes(), u[at].tobytes(), k.tobytes(), x.tobytes(), n.tobytes())):
+                held.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(v, pa.binary()) for v in out[1:])], names=["part", *names])
+
+    def run(batches: Iterator) -> Iterator:
+        gathered, size = [], 0
         for batch in batches:
             for _, sizes, hashes in hashed_words(text_bytes(batch.column(0))):
                 _, place, keys = sequences(sizes, hashes, d + 1)
                 at = np.flatnonzero(place >= d)
-                at = at[_marked(marks, keys[d - 1][at - 1])]
-                g, first, n = np.unique(keys[d][at], return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (g, keys[d - 1][at - 1], keys[d - 1][at], n)], names=["g", "c", "s", "n"])
-
-    return texts.mapInArrow(run, "g long, c long, s long, n long").groupBy("g", "c", "s").agg(F.sum("n").alias("n"))
-
-
-class SuffixTree:
-    """A tree in memory over one-byte symbols, of the same rule: states by length with log10 probabilities of the
-    symbols seen after them and of falling back to the parent. Tables of words are grown by ``_grow``."""
-
-    def __init__(self, contexts: list[np.ndarray], falls: list[np.ndarray], grams: list[np.ndarray], logs: list[np.ndarray], root: np.ndarray):
-        self.contexts, self.falls, self.grams, self.logs, self.root = contexts, falls, grams, logs, root
-
-    def __reduce__(self):
-        return SuffixTree, (self.contexts, self.falls, self.grams, self.logs, self.root)
-
-    def tables(self):
-        if not hasattr(self, "_tables"):
-            self._tables = [(HashTable(c), HashTable(g)) for c, g in zip(self.contexts, self.grams)]
-        return self._tables
-
-    @property
-    def states(self) -> int:
-        return 1 + sum(map(len, self.contexts))
-
-    @classmethod
-    def grow(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
-        """levels[d]: grams (context of d symbols, next symbol) and their counts; only contexts that may be states.
-
-        A context stays when its next-symbol distribution diverges enough from that of its suffix, and so do all
-        suffixes of such a context. Distributions are smoothed towards the parent's by the number of different
-        next symbols (Witten-Bell), the root's towards all symbols.
-        """
-        root = np.full(256, 0.0)
-        root[:SYMBOLS] = 0.5
-        grams, counts = levels[0]
-        root[grams.astype(np.int64)] += counts
-        root /= root.sum()
-        sums, keep = [], []
-        for d in range(1, len(levels)):
-            g, n = levels[d]
-            contexts, inverse = np.unique(g >> BYTES, return_inverse=True)
-            total = np.bincount(inverse, n, len(contexts))
-            up_g, up_n = levels[d - 1]
-            up_contexts, up_inverse = np.unique(up_g >> BYTES, return_inverse=True)
-            up_total = np.bincount(up_inverse, up_n, len(up_contexts))
-            short = g & np.uint64((1 << (8 * d)) - 1)
-            at = np.searchsorted(up_g, short)
-            parent = up_n[at] / up_total[up_inverse[at]]
-            share = n / total[inverse]
-            divergence = np.bincount(inverse, share * np.log(share / parent), len(contexts))
-            sums.append((contexts, inverse, total))
-            keep.append((divergence >= LEAST_DIVERGENCE) & (divergence * total >= LEAST_EVIDENCE))
-        for d in range(len(levels) - 2, 0, -1):  # the suffix of a state is a state
-            suffixes = np.unique(sums[d][0][keep[d]] & np.uint64((1 << (8 * d)) - 1))
-            keep[d - 1] |= np.isin(sums[d - 1][0], suffixes)
-        tree = cls([], [], [], [], np.log10(np.maximum(root, 1e-300)))
-        for d in range(1, len(levels)):
-            g, n = levels[d]
-            contexts, inverse, total = sums[d - 1]
-            kinds = np.bincount(inverse, minlength=len(contexts))
-            stay = keep[d - 1][inverse]
-            short = g[stay] & np.uint64((1 << (8 * d)) - 1)
-            parent = 10 ** tree.log_of(short, d - 1)
-            own, t = total[inverse[stay]], kinds[inverse[stay]]
-            chosen = keep[d - 1]
-            tree.contexts.append(contexts[chosen])
-            tree.falls.append(np.log10(kinds[chosen] / (total[chosen] + kinds[chosen])))
-            tree.grams.append(g[stay])
-            tree.logs.append(np.log10((n[stay] + t * parent) / (own + t)))
-            tree.__dict__.pop("_tables", None)
-        return tree
-
-    def log_of(self, grams: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """log10 probability of each gram's last symbol after its longest suffix that is a state."""
-        depth = len(self.contexts) if depth is None else depth
-        out, left, now = np.zeros(len(grams)), None, grams
-        for d in range(depth, 0, -1):
-            table_c, table_g = self.tables()[d - 1]
-            key = now & np.uint64((1 << (8 * (d + 1))) - 1)
-            at = table_g.find(key)
-            hit = at >= 0
-            if left is None:
-                left = np.arange(len(grams))
-            out[left[hit]] += self.logs[d - 1][at[hit]]
-            left, now = left[~hit], now[~hit]
-            state = table_c.find(key[~hit] >> BYTES)
-            known = state >= 0
-            out[left[known]] += self.falls[d - 1][state[known]]
-        rest = now & np.uint64(255)
-        if left is None:
-            return self.root[rest.astype(np.int64)]
-        out[left] += self.root[rest.astype(np.int64)]
-        return out
-
-
-def _grow(training: DataFrame, words: DataFrame, total: int, texts: int, base: Column, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Written tables of states and of the grams after candidate states, by context length from 1.
-
-    A context is a state if it has LEAST_USES, and its next-word distribution diverges enough from that of its
-    suffix; so are all suffixes of a state. A gram is counted at most as often as its suffix, so a context of n
-    uses whose suffix has m gains at most n ln(m / n) nats; contexts that can reach the evidence neither so nor
-    by a longer one, which takes e times the evidence in uses, are no candidates. This loses no state.
+                if marks is not None:
+                    at = at[in_bitmap(marks, keys[d - 1][at - 1])]
+                gathered.append((keys[d][at], keys[d - 1][at - 1], keys[d - 2][at - 1] if d > 1 else np.zeros(len(at), np.uint64), keys[0][at]))
+                size += len(at)
+                if size >= GATHERED:
+                    yield packed(gathered)
+                    gathered, size = [], 0
+        if size:
+            yield packed(gathered)
+
+    def merge(found):
+        import pyarrow as pa
 
-    Grams have p, the probability smoothed towards the suffix's by the number of different next words
-    (Witten-Bell), the shortest towards the base score's; states have fall, the log10 weight of the suffix.
+        c, u, k, x, n = (np.frombuffer(b"".join(found.column(name).to_pylist()), np.uint32 if name in "kn" else np.uint64) for name in names)
+        c, u = np.repeat(c, k), np.repeat(u, k)
+        order = np.lexsort((x, c))
+        c, u, x, n = c[order], u[order], x[order], n[order].astype(np.int64)
+        at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])))
+        c, u, x, n = c[at], u[at], x[at], np.add.reduceat(n, at)
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+        keep = n >= LEAST_USES
+        m, t = np.add.reduceat(n, first), np.add.reduceat(keep.astype(np.int64), first)
+        r = m - np.add.reduceat(np.where(keep, n, 0), first)
+        split = is_hot(c[first])
+        own, whole = of[keep], split[of[keep]]
+        c1, u1, x1 = c[keep], u[keep], x[keep]
+        g, s = mix64(c1 * STEP + x1), x1 if d == 1 else mix64(u1 * STEP + x1)
+        n1, known = np.zeros(len(g)), np.zeros(len(g), bool)
+        if base is not None:
+            there = base.find(x1)
+            known = there >= 0
+            n1 = base.figures[0][np.maximum(there, 0)]
+        h = np.flatnonzero(split)
+
+        def column(values: np.ndarray, gone: np.ndarray | None, more: np.ndarray | None) -> pa.Array:
+            """Values of the grams, null where ``gone``, then of the hot contexts, null without."""
+            values = pa.array(values.astype(np.int64), mask=gone)
+            return pa.concat_arrays([values, pa.nulls(len(h), pa.int64()) if more is None else pa.array(more.astype(np.int64))])
+
+        columns = {"g": column(g, None, None), "s": column(s, None, None), "c": column(c1, None, c[first][h]), "u": column(u1, None, u[first][h]), "n": column(n[keep], None, None)}
+        columns |= {name: column(v[own], whole, v[h]) for name, v in (("m", m), ("t", t), ("r", r))} | {"n1": column(n1, ~known, None)}
+        return pa.table(columns)
+
+    dealt = texts.mapInArrow(run, "part int, c binary, u binary, k binary, x binary, n binary")
+    return dealt.groupBy("part").applyInArrow(merge, "g long, s long, c long, u long, n long, m long, t long, r long, n1 long")
+
+
+def _grow(training: DataFrame, words: DataFrame, total: int, texts: int, below: float, head: Head, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Written tables of states and of the grams of contexts, by context length from 1.
+
+    A context is a state if it has LEAST_USES, its next-word distribution diverges enough from its suffix's, and the
+    most that its uses could gain, n ln(m / n) nats for n uses and m of its suffix, reaches the evidence; so are all
+    suffixes of a state. The distributions are compared over the next words with LEAST_USES and all others as one.
+    Longer contexts are counted only where they can be states; their suffixes have e times the evidence in uses, so
+    nothing that decides is left out.
+
+    A state gives a word it has seen LEAST_USES times n / (m + t), of m uses and t such words, and every word besides
+    its suffix's probability times what is left; the shortest states' suffix is the base score. Grams have p, so
+    smoothed; states have fall, the log10 of what is left.
     """
-    begin, stop = (F.lit(int(x)).cast("long") for x in (BEGIN, STOP))
-    ends = training.sparkSession.range(1 if texts else 0).select(stop.alias("g"), F.lit(texts).cast("long").alias("n"))
-    grams = words.select(F.col("word").alias("g"), "n").unionByName(ends).select("g", "n", F.lit(total).cast("long").alias("n1"), F.lit(0).cast("long").alias("c"), F.lit(total).cast("long").alias("m"), base.alias("p"))
-    tables, contexts = [], []
+    parts = -(-max(1, total) // PART_PLACES)
+    stop = int(STOP)
+    ends = training.sparkSession.range(1 if texts else 0).select(F.lit(stop).cast("long").alias("s"), F.lit(texts).cast("long").alias("n1"))
+    up = words.select(F.col("word").alias("s"), F.col("n").alias("n1")).unionByName(ends)
+    scale = F.lit(10.0**below)
+    tables, contexts, marks, known = [], [], None, None
     for d in range(1, DEPTH + 1):
-        may = F.col("n") * F.log(F.col("n1") / F.col("n")) >= LEAST_EVIDENCE - 1e-6
-        if d < DEPTH:
-            may = may | (F.col("n") >= int(LEAST_EVIDENCE * np.e))
-        marks = _marks(grams.where((F.col("n") >= LEAST_USES) & may).select("g"), *([BEGIN] if d == 1 else []))
-        counted = scratch.put(_count_grams(training, d, marks), "counted")
-        up = grams.select(F.col("g").alias("s"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("m").alias("m1"), F.col("p").alias("p1"))
-        met = scratch.put(counted.join(up, "s", "left").drop("s"), "met")
+        uses = words.select(F.col("word").alias("c"), "n") if d == 1 else tables[-1].select(F.col("g").alias("c"), "n")
+        crowded = uses.where(F.col("n") > PART_PLACES // 4).select("c").collect()  # at most four for each part
+        hot = np.sort(np.array([r["c"] for r in crowded] + ([int(BEGIN)] if d == 1 else []), np.int64).astype(np.uint64))
+        counted = scratch.put(_count_grams(training, d, marks, hot, parts, head if d == 1 else None), "counted")
+        scratch.release()
+        sums = counted.where("g is null").groupBy("c").agg(*[F.sum(x).alias(f"h{x}") for x in "mtr"])
+        grams = counted.where("g is not null").join(F.broadcast(sums), "c", "left").select("g", "s", "c", "u", "n", "n1", *[F.coalesce(x, f"h{x}").alias(x) for x in "mtr"])
+        if d == 1:
+            rare = grams.where("n1 is null").drop("n1").join(up, "s")
+            met = grams.where("n1 is not null").unionByName(rare).withColumn("p1", (F.col("n1") + F.lit(0.1)) / scale).withColumn("m1", F.lit(total).cast("long"))
+        else:
+            met = grams.drop("n1").join(known, "s")
+        may = F.col("m") * F.log(F.col("m1") / F.col("m")) >= LEAST_EVIDENCE - 1e-6
+        share = (F.col("r") + F.col("t")) / (F.col("m") + F.col("t"))
+        tables.append(scratch.put(met.withColumn("p", F.col("n") / (F.col("m") + F.col("t")) + share * F.col("p1")).drop("s"), "grams"))
         scratch.drop(counted)
-        evidence = F.sum(F.col("n") * F.log(F.col("n") / F.col("n1"))) + F.sum("n") * F.log(F.min("m1") / F.sum("n"))
-        # a context that only the bit map let in may lack suffixes, and is no state
-        sums = met.groupBy("c").agg(F.sum("n").alias("m"), F.count("*").alias("t"), F.count("n1").alias("k"), F.min("c1").alias("c1"), evidence.alias("e")).where((F.col("k") == F.col("t")) & (F.col("m") >= LEAST_USES))
-        own = (F.col("e") >= LEAST_EVIDENCE) & (F.col("e") >= LEAST_DIVERGENCE * F.col("m"))
-        contexts.append(scratch.put(sums.select("c", "m", "t", "c1", own.alias("own")), "contexts"))
-        grams = scratch.put(met.join(contexts[-1].select("c", "m", "t"), "c").select("g", "c", "n", "n1", "m", "t", "p1", ((F.col("n") + F.col("t") * F.col("p1")) / (F.col("m") + F.col("t"))).alias("p")), "grams")
-        scratch.drop(met)
-        tables.append(grams)
+        rest = F.greatest(F.lit(1e-12), 1 - F.sum("p1"))
+        m, r = F.min("m"), F.min("r")
+        evidence = F.sum(F.col("n") * F.log(F.col("n") / (F.col("m") * F.col("p1")))) + F.when(r > 0, r * F.log(r / m / rest)).otherwise(0.0)
+        found = tables[-1].groupBy("c").agg(m.alias("m"), F.min("t").alias("t"), r.alias("r"), F.min("u").alias("u"), F.min("m1").alias("m1"), evidence.alias("e"))
+        own = may & (F.col("e") >= LEAST_EVIDENCE) & (F.col("e") >= LEAST_DIVERGENCE * F.col("m"))
+        contexts.append(scratch.put(found.select("c", "m", "u", F.log10(share).alias("fall"), own.alias("own")), "contexts"))
+        scratch.release()
+        known = tables[-1].select(F.col("g").alias("s"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("m").alias("m1"))
+        longer = F.col("n") * F.log(F.col("n1") / F.col("n")) >= LEAST_EVIDENCE - 1e-6
+        if d + 1 < DEPTH:
+            longer = longer | (F.col("n") >= int(LEAST_EVIDENCE * np.e))
+        if d < DEPTH:
+            marks = bitmap(tables[-1].where(longer).select("g"), MARK_BITS)
     states, longer = [], None
     for found in contexts[::-1]:
         if longer is not None:
-            found = found.join(longer.select(F.col("c1").alias("c")).distinct().withColumn("up", F.lit(True)), "c", "left").withColumn("own", F.col("own") | F.coalesce("up", F.lit(False)))
-        longer = scratch.put(found.where("own").select("c", "m", "c1", F.log10(F.col("t") / (F.col("m") + F.col("t"))).alias("fall")), "states")
+            found = found.join(longer.select(F.col("u").alias("c")).distinct().withColumn("up", F.lit(True)), "c", "left").withColumn("own", F.col("own") | F.coalesce("up", F.lit(False)))
+        longer = scratch.put(found.where("own").select("c", "m", "u", "fall"), "states")
         states.append(longer)
     return states[::-1], tables
 
@@ -326,24 +320,109 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
 
 
+def _looked_up(rows: DataFrame, figures: DataFrame, head: Head, marks: np.ndarray, parts: int) -> DataFrame:
+    """(rid, gain): the sum of the figures of a text's sequences, over several rows a text.
+
+    Sequences that may have a figure and are not in the head are packed by parts of their keys and meet the part's
+    figures there.
+    """
+
+    def packed(gathered: list, sums: list, turn: int):
+        import pyarrow as pa
+
+        rid, key = (np.concatenate(a) for a in zip(*gathered))
+        part, out = _part_of(key, parts), [[] for _ in range(5)]
+
+        def put(p: int, rid: np.ndarray, k: np.ndarray, key: np.ndarray, gain: np.ndarray) -> None:
+            for held, value in zip(out, (p, rid.tobytes(), k.astype(np.uint32).tobytes(), key.tobytes(), gain.tobytes())):
+                held.append(value)
+
+        for p, (r, x) in _blobs(part, np.argsort(part, kind="stable"), [rid, key]) if len(key) else ():
+            at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            put(p, r[at], np.diff(np.append(at, len(r))), x, np.zeros(len(at)))
+        own, gain = (np.concatenate(a) for a in zip(*sums))
+        put(turn % parts, own, np.zeros(len(own)), key[:0], gain)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(v, pa.binary()) for v in out[1:])], names=["part", "rid", "k", "key", "gain"])
+
+    def run(batches: Iterator) -> Iterator:
+        gathered, sums, size, turn = [], [], 0, 0
+        for batch in batches:
+            rids = batch.column(0).to_numpy()
+            for first, sizes, hashes in hashed_words(text_bytes(batch.column(1))):
+                text, place, keys = sequences(sizes, hashes, DEPTH + 1)
+                at, key = [], []
+                for k in range(1, DEPTH + 1):  # sequences of k + 1 words
+                    here = np.flatnonzero(place >= k)
+                    value = keys[k][here]
+                    may = in_bitmap(marks, value)
+                    at.append(text[here[may]])
+                    key.append(value[may])
+                at, key = np.concatenate(at), np.concatenate(key)
+                there = head.find(key)
+                hit = there >= 0
+                sums.append((rids[first : first + len(sizes)], np.bincount(at[hit], head.figures[0][there[hit]], len(sizes))))
+                at, key = at[~hit], key[~hit]
+                order = np.argsort(at, kind="stable")
+                gathered.append((rids[first + at[order]], key[order]))
+                size += len(at) + len(sizes)
+                if size >= GATHERED:
+                    yield packed(gathered, sums, turn)
+                    gathered, sums, size, turn = [], [], 0, turn + 1
+        if sums:
+            yield packed(gathered, sums, turn)
+
+    def meet(lookups, table):
+        import pyarrow as pa
+
+        kinds = {"rid": np.int64, "k": np.uint32, "key": np.uint64, "gain": np.float64}
+        rid, k, key, gain = (np.frombuffer(b"".join(lookups.column(c).to_pylist()), kind) for c, kind in kinds.items())
+        own, first = np.unique(table.column("key").to_numpy().view(np.uint64), return_inverse=True)
+        value = np.bincount(first, table.column("v").to_numpy(), len(own)) if len(own) else np.zeros(0)
+        found = np.zeros(len(key))
+        if len(own):
+            at = np.minimum(np.searchsorted(own, key), len(own) - 1)
+            found = np.where(own[at] == key, value[at], 0.0)
+        ends = np.concatenate([[0.0], np.cumsum(found)])
+        stops = np.cumsum(k.astype(np.int64))
+        names, of = np.unique(rid, return_inverse=True)
+        return pa.table({"rid": names, "gain": np.bincount(of, gain + ends[stops] - ends[stops - k], len(names)) if len(names) else np.zeros(0)})
+
+    lookups = rows.select("rid", "text").mapInArrow(run, "part int, rid binary, k binary, key binary, gain binary")
+    # the same mix as in _part_of, on the driver's side of the figures
+    parted = figures.mapInArrow(_with_part(parts), "part int, key long, v double")
+    return lookups.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(meet, "rid long, gain double")
+
+
+def _with_part(parts: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            part = _part_of(batch.column("key").to_numpy().view(np.uint64), parts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("key"), batch.column("v")], names=["part", "key", "v"])
+
+    return run
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """Trains on the texts that are not held out and scores all texts.
 
     Tokens are lower-cased words and one end per text; each word is a symbol of its own. The tree predicts the
     next word from the longest suffix of the text so far that is a state. A state multiplies the suffix's
-    probability of any word by its fall, and of the words seen after it by a gain besides; so a score is the
+    probability of any word by its fall, and of the words it has seen by a gain besides; so a score is the
     base score and one figure for each sequence of up to DEPTH + 1 words in the text. Figures are in written
-    tables and joined by the sequences' 64-bit keys; those of the most frequent sequences (``head_words`` at
+    tables and meet the sequences' 64-bit keys in parts; those of the most frequent sequences (``head_words`` at
     most, and as many words) are broadcast, which changes no score. An unknown word, as in the base score, is one
     token however it is spelled. Word counts cover every training text.
 
-    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per input row.
+    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_gain``, one row per input
+    row; ``mean_gain`` is what the tree adds to the base score for each token, high for texts that the corpus repeats.
     A null text counts as empty and has one token, the end; a null id counts as training; repeated rows are
     ordinary; an empty table gives an empty result; further columns are not returned.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixtree")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), (held if held is not None else held_out(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), (held if held is not None else held_out(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), scratch)
     training = rows.where(~F.col("held_out")).select("text")
     counts = scratch.put(_count_words(training), "words")
     sums = {r["kind"]: (r["kinds"], r["n"]) for r in counts.groupBy("kind").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()}
@@ -352,80 +431,68 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, types = tokens + trained, kinds + (1 if trained else 0)
     below = float(np.log10(total + 0.1 * (types + 1))) if total else 0.0
 
-    states, grams = _grow(training, words, total, trained, (F.col("n") + F.lit(0.1)) / F.lit(total + 0.1 * (types + 1)), scratch)
+    def arrays(table, key: str, *names: str) -> Head:
+        keys, of = np.unique(table.column(key).to_numpy().view(np.uint64), return_inverse=True)
+        return Head(keys, *[np.bincount(of, table.column(x).to_numpy(), len(keys)) if len(keys) else np.zeros(0) for x in names])
+
+    frequent = _head(words, "word", head_words)
+    states, grams = _grow(training, words, total, trained, below, arrays(frequent, "word", "n"), scratch)
     falls = states[0].select(F.col("c").alias("word"), "fall")
-    words = scratch.put(words.join(falls, "word", "left").select("word", "n", F.coalesce("fall", F.lit(0.0)).alias("fall")), "falls")
+    words = scratch.put(words.join(slim(falls), "word", "left").select("word", "n", F.coalesce("fall", F.lit(0.0)).alias("fall")), "falls")
     begun = falls.where(F.col("word") == F.lit(int(BEGIN))).first()
     begun = begun["fall"] if begun else 0.0
-    figures = None
+    figures = [s.select(F.col("c").alias("key"), F.col("m").alias("n"), F.col("fall").alias("v")) for s in states[1:]]
     for s, g in zip(states, grams):
-        gains = g.join(s.select("c"), "c", "left_semi").select(F.col("g").alias("key"), "n", F.log10(1 + F.col("n") / (F.col("t") * F.col("p1"))).alias("v"))
-        figures = gains if figures is None else figures.unionByName(gains).unionByName(s.select(F.col("c").alias("key"), F.col("m").alias("n"), F.col("fall").alias("v")))
-    figures = scratch.put(figures.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "figures")
+        gain = F.log10(1 + F.col("n") / ((F.col("r") + F.col("t")) * F.col("p1")))
+        figures.append(g.join(slim(s.select("c")), "c", "left_semi").select(F.col("g").alias("key"), "n", gain.alias("v")))
+    union = figures[0]
+    for f in figures[1:]:
+        union = union.unionByName(f)
+    figures = scratch.put(union, "figures")
     scratch.drop(*grams)
-    marks = [_marks(s.select("c")) for s in states]
-
-    def arrays(table, key: str, *names: str) -> Head:
-        return Head(table.column(key).to_numpy().astype(np.uint64), *[table.column(x).to_numpy().astype(np.float64) for x in names])
-
+    scratch.release()
     head = arrays(_head(words, "word", head_words), "word", "n", "fall")
-    often = arrays(_head(figures, "key", head_words), "key", "v")
+    gains = _looked_up(rows, figures.select("key", "v"), arrays(_head(figures, "key", head_words), "key", "v"), bitmap(figures.select("key"), MARK_BITS), -(-max(1, total) // (4 * PART_PLACES)))
+    gains = scratch.put(gains.groupBy("rid").agg(F.sum("gain").alias("gain")), "gains")
+    scratch.release()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         base_logs, end_log = np.log10(head.figures[0] + 0.1) - below, np.log10(trained + 0.1) - below
         for batch in batches:
-            n_tokens, n_seen, base, gain, lists = [], [], [], [], ([], [])
-            sizes_of: tuple[list, list] = ([], [])
+            n_tokens, n_seen, base, fall, tail, left = [], [], [], [], [], []
             for _, sizes, hashes in hashed_words(text_bytes(batch.column(1))):
                 found = head.find(hashes)
                 seen = found >= 0
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 base.append(np.bincount(owner[seen], base_logs[found[seen]], len(sizes)) + end_log)
-                part = np.bincount(owner[seen], head.figures[1][found[seen]], len(sizes)) + begun
+                fall.append(np.bincount(owner[seen], head.figures[1][found[seen]], len(sizes)) + begun)
                 n_tokens.append(sizes + 1)
                 n_seen.append(np.bincount(owner[seen], minlength=len(sizes)))
-                lists[0].append(hashes[~seen].astype(np.int64))
-                sizes_of[0].append(sizes - n_seen[-1])
-                text, place, keys = sequences(sizes, hashes, DEPTH + 1)
-                left, of = [], []
-                for k in range(1, DEPTH + 1):  # sequences of k + 1 words
-                    at = np.flatnonzero(place >= k)
-                    need = _marked(marks[k - 1], keys[k - 1][at - 1])
-                    if k < DEPTH:
-                        need |= _marked(marks[k], keys[k][at])
-                    at = at[need]
-                    there = often.find(keys[k][at])
-                    hit = there >= 0
-                    part += np.bincount(text[at[hit]], often.figures[0][there[hit]], len(sizes))
-                    left.append(keys[k][at[~hit]])
-                    of.append(text[at[~hit]])
-                left, of = np.concatenate(left), np.concatenate(of)
-                lists[1].append(left[np.argsort(of, kind="stable")].astype(np.int64))
-                sizes_of[1].append(np.bincount(of, minlength=len(sizes)))
-                gain.append(part)
+                tail.append(hashes[~seen].astype(np.int64))
+                left.append(sizes - n_seen[-1])
 
             def flat(x: list, kind) -> pa.Array:
                 return pa.array(np.concatenate(x) if x else np.zeros(0), kind)
 
-            tails = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(n) if n else [])), pa.int32()), flat(x, pa.int64())) for x, n in zip(lists, sizes_of)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), flat(n_tokens, pa.int64()), flat(n_seen, pa.int64()), flat(base, pa.float64()), flat(gain, pa.float64()), *tails], names=["rid", "doc_id", "held_out", "n_tokens", "seen", "base", "gain", "tail", "longer"])
+            tails = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(left) if left else [])), pa.int32()), flat(tail, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), flat(n_tokens, pa.int64()), flat(n_seen, pa.int64()), flat(base, pa.float64()), flat(fall, pa.float64()), tails], names=["rid", "doc_id", "held_out", "n_tokens", "seen", "base", "fall", "tail"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = scratch.put(rows.select("rid", "text", "doc_id", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, gain double, tail array<long>, longer array<long>"), "scored")
+    scored = scratch.put(rows.select("rid", "text", "doc_id", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, fall double, tail array<long>"), "scored")
     rare = scored.select("rid", F.explode("tail").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     count = F.coalesce(F.col("n"), F.lit(0))
     tails = (
         rare.join(words, "word", "left").groupBy("rid")
         .agg(F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(count + F.lit(0.1)) - F.lit(below))).alias("rest"), F.sum(F.col("times") * F.coalesce("fall", F.lit(0.0))).alias("rest_fall"))
     )
-    gains = scored.select("rid", F.explode("longer").alias("key")).join(figures.select("key", "v"), "key").groupBy("rid").agg(F.sum("v").alias("rest_gain"))
     end_known = 1 if trained else 0
     base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return scored.drop("tail", "longer").join(tails, "rid", "left").join(gains, "rid", "left").select(
+    added = F.col("fall") + F.coalesce("rest_fall", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))
+    return scored.drop("tail").join(tails, "rid", "left").join(gains, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0)) + end_known).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain") + F.coalesce("rest_fall", F.lit(0.0)) + F.coalesce("rest_gain", F.lit(0.0))).alias("score"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + added).alias("score"), (added / F.col("n_tokens")).alias("mean_gain"),
     )
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clarisect.llm import blocknames, decontaminate, mixing, ngramjoin, personal, quality, repeats, sharding, shared, suffixtree, tokencount, trees
+from clarisect.sources.scratch import shared_folder
 
 CLASHES = ["size", "score", "shard", "slot", "range", "kept", "rid", "n_words", "n_hit", "group_size", "comp", "tok", "held_out", "predicted", "taken", "target", "name", "level", "c", "n"]
 
@@ -431,8 +432,8 @@ def test_quality_on_held_out_rows(spark):
 def test_suffix_tree_scores(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(400)
-    docs.write.mode("overwrite").parquet(shared.shared_folder(spark) + "/lm")
-    docs = spark.read.parquet(shared.shared_folder(spark) + "/lm")
+    docs.write.mode("overwrite").parquet(shared_folder(spark) + "/lm")
+    docs = spark.read.parquet(shared_folder(spark) + "/lm")
     words = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), None] for r in docs.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
     c = collections.Counter(w for i, ws in words.items() if not held[i] for w in ws)
@@ -447,24 +448,9 @@ def test_suffix_tree_scores(spark):
         assert sum(x["score"] - x["base_score"] for x in got if x["held_out"]) > 0
 
 
-def test_suffix_tree_is_a_distribution():
-    r = np.random.default_rng(1)
-    stream = r.integers(1, 6, 4000).astype(np.uint64)
-    stream[2000:] = np.tile(np.array([1, 2, 3, 1], np.uint64), 500)
-    full = np.array([int.from_bytes(bytes(stream[i : i + 4].astype(np.uint8)), "big") for i in range(len(stream) - 3)], np.uint64)
-    levels = []
-    for d in range(4):
-        g, n = np.unique(full & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True)
-        levels.append((g, n.astype(float)))
-    tree = suffixtree.SuffixTree.grow(levels)
-    assert tree.states > 1
-    for context in (b"\1\2\3", b"\5\5\5", b"\2\3\1", b"\0\0\0"):
-        grams = np.array([(int.from_bytes(context, "big") << 8) | x for x in range(suffixtree.SYMBOLS)], np.uint64)
-        assert (10 ** tree.log_of(grams)).sum() == pytest.approx(1, abs=1e-6)
-
-
-@pytest.mark.parametrize("head", [400_000, 3])
-def test_suffix_tree_of_words(spark, tmp_path, head):
+@pytest.mark.parametrize("head,places", [(400_000, 1 << 20), (3, 60)])
+def test_suffix_tree_of_words(spark, tmp_path, monkeypatch, head, places):
+    monkeypatch.setattr(suffixtree, "PART_PLACES", places)
     r = random.Random(5)
     phrases = [[f"w{r.randint(0, 40)}" for _ in range(r.randint(3, 9))] for _ in range(25)]
     texts = [" ".join(w for _ in range(r.randint(0, 12)) for w in (r.choice(phrases) if r.random() < 0.7 else [f"w{r.randint(0, 400)}"])) for _ in range(300)]
@@ -473,28 +459,36 @@ def test_suffix_tree_of_words(spark, tmp_path, head):
     after = collections.defaultdict(collections.Counter)
     for ws in (ws for ws, h in zip(docs, held) if not h):
         for t in range(1, len(ws)):
-            for d in range(min(t, 3) + 1):
+            for d in range(min(t, 2) + 1):
                 after[tuple(ws[t - d : t])][ws[t]] += 1
     uses = {c: sum(n.values()) for c, n in after.items()}
-    states = set()
-    for c, n in after.items():
-        gain = sum(k * math.log(k / uses[c] * uses[c[1:]] / after[c[1:]][x]) for x, k in n.items()) if c else 0
-        if c and uses[c] >= 2 and gain >= 12 and gain >= 0.01 * uses[c]:
-            states |= {c[i:] for i in range(len(c))}
-    assert {len(c) for c in states} == {1, 2, 3}
+    seen = {c: {x: k for x, k in n.items() if k >= 2} for c, n in after.items()}
 
     def chance(c, x):
         if not c:
             return (after[()][x] + 0.1) / (uses[()] + 0.1 * (len(after[()]) + 1))
-        return (after[c][x] + len(after[c]) * chance(c[1:], x)) / (uses[c] + len(after[c]))
+        left = (uses[c] - sum(seen[c].values()) + len(seen[c])) / (uses[c] + len(seen[c]))
+        return seen[c].get(x, 0) / (uses[c] + len(seen[c])) + left * chance(c[1:], x)
 
-    got = {x["doc_id"]: x["score"] for x in suffixtree.score_texts(plain(spark, tmp_path, texts), head_words=head).collect()}
+    states = set()
+    for c, n in seen.items():
+        if not c or not n or uses[c] * math.log(uses[c[1:]] / uses[c]) < 12 - 1e-6:
+            continue
+        rest, p = uses[c] - sum(n.values()), {x: chance(c[1:], x) for x in n}
+        gain = sum(k * math.log(k / uses[c] / p[x]) for x, k in n.items()) + (rest * math.log(rest / uses[c] / (1 - sum(p.values()))) if rest else 0)
+        if gain >= 12 and gain >= 0.01 * uses[c]:
+            states |= {c[i:] for i in range(len(c))}
+    assert {len(c) for c in states} == {1, 2}
+    for c in list(states)[:20]:  # a distribution: the words seen anywhere and 0.1 for the unknown one
+        assert sum(chance(c, x) for x in after[()]) + chance(c, None) == pytest.approx(1)
+    got = {x["doc_id"]: x for x in suffixtree.score_texts(plain(spark, tmp_path, texts), head_words=head).collect()}
     for i, ws in enumerate(docs):
         want = 0
         for t in range(1, len(ws)):
-            c = next(c for d in range(min(t, 3), -1, -1) if not (c := tuple(ws[t - d : t])) or c in states)
+            c = next(c for d in range(min(t, 2), -1, -1) if not (c := tuple(ws[t - d : t])) or c in states)
             want += math.log10(chance(c, ws[t]))
-        assert got[i] == pytest.approx(want)
+        assert got[i]["score"] == pytest.approx(want)
+        assert got[i]["mean_gain"] == pytest.approx((want - got[i]["base_score"]) / (len(ws) - 1))
 
 
 def test_suffix_tree_keeps_rare_contexts_of_a_large_table(spark, tmp_path):
