@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Thresholds up to which a search is written out.
+SEARCHED = 256
+
+
 def doubles(values: Sequence[float]) -> Column:
     """A literal array of doubles."""
     return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
@@ -22,6 +26,15 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def squared_distance_to(a: Column, values: Sequence[float]) -> Column:
+    """Squared distance of an array to fixed values, written out so that it stays inside generated code."""
+    out = F.lit(0.0)
+    for i, v in enumerate(values):
+        d = F.get(a, F.lit(i)) - F.lit(float(v))
+        out = out + d * d
+    return out
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -35,6 +48,19 @@ def find_bin(value: Column, thresholds: Column) -> Column:
     return F.size(F.filter(thresholds, lambda t: t < value))
 
 
+def find_bin_of(value: Column, thresholds: Sequence[float]) -> Column:
+    """The same for fixed thresholds, as a binary search of nested comparisons inside generated code."""
+    ts = sorted(float(t) for t in thresholds)
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(value > F.lit(ts[middle]), between(middle + 1, hi)).otherwise(between(lo, middle))
+
+    return between(0, len(ts)) if len(ts) <= SEARCHED else find_bin(value, doubles(ts))
+
+
 def as_array(df: DataFrame, column: str = "features") -> DataFrame:
     """Turns a vector column into an array of doubles; an array stays as it is."""
     if df.schema[column].dataType.typeName() == "array":

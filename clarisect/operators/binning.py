@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles, find_bin
+from ..functions.vectors import find_bin_of
 
 Splits = Sequence[Sequence[float]]
 
 
 def bins_of(features: Column, splits: Splits) -> Column:
-    """Bin of each feature; thresholds are sorted once, here."""
-    return F.array(*[find_bin(features[f], doubles(sorted(ts))) for f, ts in enumerate(splits)])
+    """Bin of each feature."""
+    return F.array(*[find_bin_of(features[f], ts) for f, ts in enumerate(splits)])
 
 
 def bin_instances(df: DataFrame, splits: Splits) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import argmin, as_array, doubles, squared_distance
+from ..functions.vectors import argmin, as_array, squared_distance_to
 
 Centers = Sequence[Sequence[float]]
 
@@ -28,7 +28,7 @@ def assign(df: DataFrame, model: KMeansModel) -> tuple[DataFrame, list[list[floa
 
 def nearest_center(features: Column, centers: Centers) -> Column:
     """Number of the nearest center by squared distance, the lowest on ties."""
-    return argmin([squared_distance(features, doubles(c)) for c in centers])
+    return argmin([squared_distance_to(features, c) for c in centers])
 
 
 def assign_nearest(df: DataFrame, centers: Centers) -> DataFrame:

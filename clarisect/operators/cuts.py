@@ -64,12 +64,14 @@ def valid_center_values(spark: SparkSession, centers: Sequence[Sequence[float]],
     return spark.createDataFrame(rows, "node_id long, feature int, threshold double")
 
 
-def mistakes_exact(rows: DataFrame, centers: Sequence[Sequence[float]], valid: dict[int, Sequence[int]], thresholds: DataFrame | None = None, features: Sequence[int] | None = None, right_side: bool = True) -> DataFrame:
+def mistakes_exact(rows: DataFrame, centers: Sequence[Sequence[float]], valid: dict[int, Sequence[int]], thresholds: DataFrame | None = None, features: Sequence[int] | None = None, right_side: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
     """``node_id, feature, threshold, mistakes`` for every candidate from the least valid center up to the greatest.
 
     ``rows`` have ``node_id, features, cluster_id, weight``. Candidates are all data values and valid center
     values, or with ``thresholds`` (``feature, threshold``) these and the center values. With ``right_side`` a
     data candidate needs a row above it. Rows count against their own center even if it is not valid here.
+    The rows are read once: what is left of them, a row for each distinct value, is cached, and with ``held`` added
+    to that list for the caller to unpersist.
     """
     spark = rows.sparkSession
     ranges = F.broadcast(center_ranges(spark, centers, valid, features))  # open nodes times features
@@ -77,24 +79,29 @@ def mistakes_exact(rows: DataFrame, centers: Sequence[Sequence[float]], valid: d
     long = rows.select("node_id", "cluster_id", "weight", F.posexplode("features").alias("feature", "value"))
     # equal values of a cluster are one row from here on
     grouped = long.join(ranges, ["node_id", "feature"]).groupBy("node_id", "feature", "cluster_id", "value", "lo", "hi").agg(F.sum("weight").alias("w")).join(F.broadcast(own), ["cluster_id", "feature"])
-    a, b = F.greatest(F.least("value", "center"), F.col("lo")), F.greatest("value", "center")
-    apart = grouped.where((F.col("value") != F.col("center")) & (b > F.col("lo")))
-    ends = apart.select("node_id", "feature", "hi", a.alias("threshold"), F.col("w").alias("d"), F.lit(False).alias("tried")).unionByName(
-        apart.select("node_id", "feature", "hi", b.alias("threshold"), (-F.col("w")).alias("d"), F.lit(False).alias("tried")))
-    own_values = valid_center_values(spark, centers, valid).join(ranges, ["node_id", "feature"])
-    if thresholds is None:
-        data = grouped.select("node_id", "feature", "lo", "hi", F.col("value").alias("threshold"))
-    else:
-        data = thresholds.select("feature", "threshold").join(ranges, "feature").select("node_id", "feature", "lo", "hi", "threshold")
-    tried = data.unionByName(own_values.select("node_id", "feature", "lo", "hi", "threshold")).where("threshold >= lo and threshold < hi")
-    if thresholds is None and right_side:
-        top = grouped.groupBy("node_id", "feature").agg(F.max("value").alias("top"))
-        tried = tried.join(top, ["node_id", "feature"]).where("threshold < top")
-    summed = (
-        ends.unionByName(tried.select("node_id", "feature", "hi", "threshold", F.lit(0.0).alias("d"), F.lit(True).alias("tried")))
-        .where("threshold < hi").groupBy("node_id", "feature", "threshold").agg(F.sum("d").alias("m"), F.max("tried").alias("tried"))
-    )
-    return running_sums(summed, ["node_id", "feature"], "threshold", ["m"]).where("tried").select("node_id", "feature", "threshold", F.floor(F.col("m") + ROUND).alias("mistakes"))
+    lo, hi, value = F.col("lo"), F.col("hi"), F.col("value")
+    a, b = F.greatest(F.least("value", "center"), lo), F.greatest("value", "center")
+    apart = F.when((value != F.col("center")) & (b > lo), F.col("w")).otherwise(0.0)
+    takes_data = thresholds is None
+
+    def end(at, d, tried=F.lit(False), row=F.lit(False)):
+        return F.struct(at.alias("threshold"), d.alias("d"), tried.alias("tried"), row.alias("row"))
+
+    # both ends of the interval of mistakes, and the value itself: a candidate, and a row above lower candidates
+    ends = grouped.select("node_id", "feature", "hi", F.explode(F.array(
+        end(F.least(a, hi), apart), end(F.least(b, hi), -apart), end(F.greatest(F.least(value, hi), lo), F.lit(0.0), (value >= lo) & (value < hi) & F.lit(takes_data), value > lo))).alias("e")).select("node_id", "feature", "hi", "e.*")
+    more = valid_center_values(spark, centers, valid).join(ranges, ["node_id", "feature"]).where("threshold >= lo and threshold < hi")
+    if not takes_data:
+        more = more.unionByName(thresholds.select("feature", "threshold").join(ranges, "feature").where("threshold >= lo and threshold < hi").select(more.columns))
+    tried = more.select("node_id", "feature", "hi", "threshold", F.lit(0.0).alias("d"), F.lit(True).alias("tried"), F.lit(False).alias("row"))
+    summed = ends.unionByName(tried).groupBy("node_id", "feature", "hi", "threshold").agg(F.sum("d").alias("m"), F.max("tried").alias("tried"), F.max("row").alias("row")).persist()
+    if held is not None:
+        held.append(summed)
+    out = running_sums(summed.where("threshold < hi").select("node_id", "feature", "threshold", "tried", "m"), ["node_id", "feature"], "threshold", ["m"]).where("tried")
+    if takes_data and right_side:
+        top = summed.where("row").groupBy("node_id", "feature").agg(F.max("threshold").alias("top"))
+        out = out.join(F.broadcast(top), ["node_id", "feature"]).where("threshold < top")  # open nodes times features
+    return out.select("node_id", "feature", "threshold", F.floor(F.col("m") + ROUND).alias("mistakes"))
 
 
 def count_mistakes(rows: DataFrame, centers: Sequence[Sequence[float]], feature: int, threshold: float) -> DataFrame:

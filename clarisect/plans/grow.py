@@ -126,8 +126,11 @@ def grow_recursive(rows: DataFrame, centers: Centers, thresholds: DataFrame | No
                 rest.append(i)
         if not rest:
             break
-        cuts = best_cut_per_node(mistakes_exact(placed.where(F.col("node_id").isin(rest)), centers, {i: valid[i] for i in rest}, fixed, features), "threshold")
+        held: list[DataFrame] = []
+        cuts = best_cut_per_node(mistakes_exact(placed.where(F.col("node_id").isin(rest)), centers, {i: valid[i] for i in rest}, fixed, features, held=held), "threshold")
         found = {r["node_id"]: r for r in cuts.collect()}
+        for frame in held:
+            frame.unpersist()
         open_nodes = []
         for i in rest:
             if i not in found:
