@@ -165,11 +165,25 @@ def made_examples(count: int, seed: int = 5) -> list[tuple[str, str, int, int, b
     return out
 
 
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn decisions into probabilities, by logistic regression towards smoothed labels."""
+    yes, no = y.sum(), len(y) - y.sum()
+    if not yes or not no:
+        return 1.0, 0.0
+    target = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
+    a = np.stack([z, np.ones(len(z))], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = sigmoid(a @ w)
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (p - target) + 1e-3 * w)
+    return (float(w[0]), float(w[1])) if np.isfinite(w).all() and w[0] > 0 else (1.0, 0.0)
+
+
 class SpanModel:
-    """The trees and a threshold for each kind; a kind that cannot reach the precision is never added."""
+    """The trees, and for each kind its calibration and threshold; a kind that cannot reach the precision is never added."""
 
-    def __init__(self, trees: Boosted, thresholds: dict[str, float]):
-        self.trees, self.thresholds = trees, thresholds
+    def __init__(self, trees: Boosted, thresholds: dict[str, float], scales: dict[str, tuple[float, float]]):
+        self.trees, self.thresholds, self.scales = trees, thresholds, scales
 
     @classmethod
     def fit(cls, texts: list[str], made: int = FIT_MADE) -> SpanModel:
@@ -188,14 +202,25 @@ class SpanModel:
         x, y = np.array([features(*r) for r in rows]), np.array(labels, float)
         back = np.random.default_rng(11).random(len(y)) < 0.3
         trees = boost(x[~back], y[~back], trees=40, depth=4)
-        p, thresholds = sigmoid(trees.decision(x[back])), {}
-        for k, kind in enumerate(KINDS):
+        z, thresholds, scales = trees.decision(x[back]), {}, {}
+        for k, kind in enumerate(KINDS):  # on rows that the trees have not seen
             mine = x[back][:, 0] == k
-            order = np.argsort(-p[mine])
-            hits, scores = y[back][mine][order], p[mine][order]
-            precise = np.flatnonzero(np.cumsum(hits) / np.arange(1, len(hits) + 1) >= PRECISION)
-            thresholds[kind] = max(0.8, float(scores[precise[-1]])) if len(precise) else 2.0
-        return cls(trees, thresholds)
+            slope, shift = scales[kind] = calibrated(z[mine], y[back][mine])
+            p = sigmoid(slope * z[mine] + shift)
+            order = np.argsort(-p, kind="stable")
+            hits, p = y[back][mine][order], p[order]
+            precise = np.flatnonzero((np.cumsum(hits) / np.arange(1, len(hits) + 1) >= PRECISION) & np.append(p[:-1] > p[1:], True)[: len(p)])
+            if len(precise):  # half way to the next one that is left out
+                last = precise[-1]
+                thresholds[kind] = float(p[last] + (p[last + 1] if last + 1 < len(p) else 0.0)) / 2
+            else:
+                thresholds[kind] = 2.0
+        return cls(trees, thresholds, scales)
+
+    def chances(self, text: str, offered: list[tuple[str, int, int, bool]]) -> np.ndarray:
+        """Calibrated probability of each candidate."""
+        scale = np.array([self.scales[c[0]] for c in offered])
+        return sigmoid(scale[:, 0] * self.trees.decision(np.array([features(text, *c) for c in offered])) + scale[:, 1])
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans and all spans as (start, kind number, end), sorted. Added spans do not overlap chosen ones."""
@@ -203,7 +228,7 @@ class SpanModel:
         offered = more_candidates(text)
         if not offered:
             return base, base
-        p = sigmoid(self.trees.decision(np.array([features(text, *c) for c in offered])))
+        p = self.chances(text, offered)
         chosen = list(base)
         for i in sorted(range(len(p)), key=lambda i: (offered[i][0] == "phone_local", -p[i], i)):  # the loosest pattern last
             kind, b, e, _ = offered[i]
