@@ -86,25 +86,9 @@ def _postings(docs: DataFrame, terms: np.ndarray, anchors: np.ndarray, reach: in
     return docs.select("rid", F.lit(0), "text").mapInArrow(run, "rid long, n_words long, terms array<long>, places array<long>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP, carry: list[str] | None = None, terms_at_once: int = TERMS_AT_ONCE, numbered: bool = False) -> DataFrame:
-    """Finds the windows of benchmark items in training documents by intersecting positional postings.
-
-    Terms are words of digits, letters a-z (A-Z lower-cased) and non-ASCII characters, held as 64-bit hashes.
-    Corpus counts order the terms of each window from the rarest. The index stores, for every document, the
-    postings of test terms that lie near some window's rarest term; nothing else can take part in a match.
-    Lists are intersected offset-adjusted: the rarest term's, the second's, the third's, then all the rest.
-    A proximity match needs the three rarest terms within ``window - 1 + slop`` words of the rarest.
-
-    Returns ``carry`` (the id by default) plus ``n_words, n_hit, n_items, items_sha256, contaminated,
-    n_near_items``, one row per input row (and ``rid``, the row's number, if ``numbered``). Null texts have no words; null or wordless items match nothing;
-    null item ids count as no item in the list but their words are hit; null document ids, repeated rows and
-    repeated items are ordinary; empty tables give no rows, or clean ones. A carried column whose name is one
-    of the result's is replaced.
-    """
+def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, slop: int, carry: list[str], terms_at_once: int, scratch: Scratch):
+    """(texts with ``rid``, their word counts, exact hits, near hits, owners of windows); hits are rows of win and rid."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
-    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
-    carry = [c for c in (carry or [id_col]) if c not in made]
     texts = with_numbers(docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col(text_col).cast("string").alias("text")), scratch)
     found = scratch.put(_windows(benchmark, item_col, item_text_col, window).select(F.xxhash64("terms").alias("win"), "item", "terms"), "windows")
     windows = scratch.put(found.groupBy("win").agg(F.first("terms").alias("terms")), "distinct")
@@ -150,10 +134,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         three = scratch.put(begun.select("win", "rid", "start", "len"), "three")
         want = three.join(plan.select("win", F.explode("t").alias("x")), "win").select("win", "rid", "start", "len", F.col("x.term").alias("t"), (F.col("start") + F.col("x.offset")).alias("p"))
         exact.append(want.join(of(""), ["rid", "t", "p"], "left_semi").groupBy("win", "rid", "start", "len").agg(F.count("*").alias("n")).where("n = len").drop("n"))
+        # of the postings of a term, the first and last in each stretch of a text tell whether one is close
+        wide = reach + 1
+        stretches = scratch.put(index.groupBy("rid", "term", F.expr(f"place div {wide}").alias("at")).agg(F.min("place").alias("lo"), F.max("place").alias("hi")), "stretches")
         close = first.select("win", "rid", "p1", "t2", "t3")
         for c in ("2", "3"):
-            close = close.join(of(c), ["rid", f"t{c}"]).where(F.abs(F.col(f"p{c}") - F.col("p1")) <= reach).select("win", "rid", "p1", "t2", "t3").distinct()
-        near.append(close.select("win", "rid").distinct())
+            around = close.withColumn("at", F.explode(F.array(*[F.expr(f"p1 div {wide}") + step for step in (-1, 0, 1)])))
+            met = around.join(stretches.withColumnRenamed("term", f"t{c}"), ["rid", f"t{c}", "at"])
+            close = met.where((F.col("lo") <= F.col("p1") + reach) & (F.col("hi") >= F.col("p1") - reach)).select("win", "rid", "p1", "t2", "t3").distinct()
+        near.append(close.select("win", "rid", "p1"))
 
     def union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -161,19 +150,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             out = out.unionByName(f)
         return out
 
-    hits = scratch.put(union(exact), "hits")
+    owners = found.select("win", "item").where("item is not null").distinct()
+    return texts, documents, scratch.put(union(exact), "hits"), scratch.put(union(near), "near"), owners
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP, terms_at_once: int = TERMS_AT_ONCE) -> DataFrame:
+    """The matches themselves: ``doc_id, item, kind, place, length``, places counting words from 0.
+
+    A "phrase" is a whole window at its place; "near" is a window's rarest term with its two next rarest within
+    ``window - 1 + slop`` words. Items and documents as in ``contamination``; null item ids have no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "matches")
+    texts, _, hits, near, owners = _search(docs, benchmark, text_col, item_col, item_text_col, window, slop, [id_col], terms_at_once, scratch)
+    found = hits.select("win", "rid", F.lit("phrase").alias("kind"), F.col("start").alias("place"), "len").unionByName(near.select("win", "rid", F.lit("near").alias("kind"), F.col("p1").alias("place"), F.lit(1).alias("len")))
+    return found.join(owners, "win").join(texts.select("rid", F.col(f"c_{id_col}").alias("doc_id")), "rid").select("doc_id", "item", "kind", "place", F.col("len").cast("long").alias("length")).distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP, carry: list[str] | None = None, terms_at_once: int = TERMS_AT_ONCE, numbered: bool = False) -> DataFrame:
+    """Finds the windows of benchmark items in training documents by intersecting positional postings.
+
+    Terms are words of digits, letters a-z (A-Z lower-cased) and non-ASCII characters, held as 64-bit hashes.
+    Corpus counts order the terms of each window from the rarest. The index stores, for every document, the
+    postings of test terms that lie near some window's rarest term; nothing else can take part in a match.
+    Lists are intersected offset-adjusted: the rarest term's, the second's, the third's, then all the rest.
+    A proximity match needs the three rarest terms within ``window - 1 + slop`` words of the rarest.
+
+    Returns ``carry`` (the id by default) plus ``n_words, n_hit, n_items, items_sha256, contaminated,
+    n_near_items``, one row per input row (and ``rid``, the row's number, if ``numbered``). Null texts have no words; null or wordless items match nothing;
+    null item ids count as no item in the list but their words are hit; null document ids, repeated rows and
+    repeated items are ordinary; empty tables give no rows, or clean ones. A carried column whose name is one
+    of the result's is replaced.
+    """
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
+    carry = [c for c in (carry or [id_col]) if c not in made]
+    texts, documents, hits, near, owners = _search(docs, benchmark, text_col, item_col, item_text_col, window, slop, carry, terms_at_once, scratch)
     ends = Window.partitionBy("rid").orderBy("start", "len")
     covered = (
         hits.select("rid", "start", (F.col("start") + F.col("len")).alias("end"), "len")
         .withColumn("done", F.coalesce(F.max("end").over(ends.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .groupBy("rid").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "done"))).alias("n_hit"))
     )
-    owners = found.select("win", "item").where("item is not null").distinct()
     items = (
         hits.select("win", "rid").distinct().join(owners, "win").select("rid", "item").distinct()
         .groupBy("rid").agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
-    nearby = union(near).join(owners, "win").select("rid", "item").distinct().groupBy("rid").agg(F.count("*").alias("n_near_items"))
+    nearby = near.select("win", "rid").distinct().join(owners, "win").select("rid", "item").distinct().groupBy("rid").agg(F.count("*").alias("n_near_items"))
     marks = scratch.put(covered.join(items, "rid", "left").join(nearby, "rid", "full"), "marks")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
@@ -187,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, benchmark).drop("n_near_items")
+    return contamination(docs, benchmark)
 
 
 OP10_SQL = r"""
@@ -203,8 +225,19 @@ spot AS (
   FROM d, (SELECT DISTINCT n FROM win) AS l, unnest(range(1, len(w) - n + 2)) AS t(i)),
 occ AS (SELECT rid, i, n, item_id FROM spot JOIN win USING (n, s)),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + n)) AS t(p) GROUP BY rid),
+pos AS (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+cnt AS (SELECT t, count(*) AS c FROM pos GROUP BY t),
+term AS (
+  SELECT s, row_number() OVER (PARTITION BY s ORDER BY coalesce(c, 0), o) AS k, t, coalesce(c, 0) AS c
+  FROM (SELECT s, unnest(string_split(s, ' ')) AS t, unnest(range(0, n)) AS o FROM (SELECT DISTINCT s, n FROM win)) LEFT JOIN cnt USING (t)),
+rare AS (
+  SELECT s, max(t) FILTER (k = 1) AS t1, max(t) FILTER (k = least(2, l)) AS t2, max(t) FILTER (k = least(3, l)) AS t3
+  FROM (SELECT *, count(*) OVER (PARTITION BY s) AS l FROM term) GROUP BY s HAVING min(c) > 0),
+near1 AS (SELECT s, t3, a.rid, a.p FROM rare JOIN pos AS a ON a.t = t1 WHERE EXISTS (SELECT 1 FROM pos AS b WHERE b.rid = a.rid AND b.t = rare.t2 AND b.p BETWEEN a.p - 14 AND a.p + 14)),
+near AS (SELECT DISTINCT s, rid FROM near1 WHERE EXISTS (SELECT 1 FROM pos AS b WHERE b.rid = near1.rid AND b.t = near1.t3 AND b.p BETWEEN near1.p - 14 AND near1.p + 14)),
+nearby AS (SELECT rid, count(DISTINCT item_id) AS n_near FROM near JOIN win USING (s) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM occ) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_near, 0)::BIGINT AS n_near_items, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN nearby USING (rid)
 """

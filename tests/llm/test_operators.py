@@ -222,6 +222,17 @@ def test_contamination(spark, tmp_path, at_once):
         for k in range(max(1, len(w) - 9)):
             if w:
                 windows[tuple(w[k : k + 10])].add(str(i))
+    counts = collections.Counter(x for t in texts for x in split(t))
+    near = collections.defaultdict(set)
+    for win, own in windows.items():
+        rare = [win[o] for _, o in sorted((counts[x], o) for o, x in enumerate(win))]
+        terms = [rare[min(k, len(rare) - 1)] for k in range(3)]
+        for i, t in enumerate(texts):
+            w = split(t)
+            for p in (p for p, x in enumerate(w) if x == terms[0]):
+                around = w[max(0, p - 14) : p + 15]
+                if terms[1] in around and terms[2] in around:
+                    near[i] |= own
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {x["doc_id"]: x for x in decontaminate.contamination(plain(spark, tmp_path, texts), bench, terms_at_once=at_once).collect()}
     for i, t in enumerate(texts):
@@ -234,7 +245,12 @@ def test_contamination(spark, tmp_path, at_once):
         x = got[i]
         assert (x["n_words"], x["n_hit"], x["n_items"], x["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
         assert x["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        assert x["n_near_items"] >= x["n_items"]
+        assert x["n_near_items"] == len(near[i])
+    rows = decontaminate.matches(plain(spark, tmp_path, texts), bench, terms_at_once=at_once).collect()
+    assert {(m["doc_id"], m["item"]) for m in rows if m["kind"] == "near"} == {(i, item) for i, own in near.items() for item in own}
+    for m in rows:
+        w = split(texts[m["doc_id"]])[m["place"] : m["place"] + m["length"]]
+        assert m["kind"] == "near" or m["item"] in windows[tuple(w)]
 
 
 # ---- similar documents
