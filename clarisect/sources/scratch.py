@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -57,8 +58,10 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished queries, which it does as the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round finds lets go of more
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def _is_scan(docs: DataFrame) -> bool:
