@@ -171,7 +171,7 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
     t, r: the context's uses, different next words with LEAST_USES, and uses before other words; n1: uses of the word
     where it is in ``base``. For a hot context these are null, and rows without g hold what a part has of them.
     """
-    names = ("c", "u", "k", "x", "n")
+    names = ("u", "j", "c", "k", "x", "n")  # suffixes, their contexts' number, contexts, their grams' number, words, uses
 
     def is_hot(c: np.ndarray) -> np.ndarray:
         if not len(hot):
@@ -185,11 +185,13 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
         _, first, n = np.unique(g, return_index=True, return_counts=True)
         c, u, x, n = c[first], u[first], x[first], n.astype(np.uint32)
         part = np.where(is_hot(c), _part_of(x, parts), _part_of(c, parts))
-        out = [[] for _ in range(6)]
-        for p, (c, u, x, n) in _blobs(part, np.lexsort((c, part)), [c, u, x, n]):
+        out = [[] for _ in range(7)]
+        for p, (c, u, x, n) in _blobs(part, np.lexsort((c, u, part) if d > 1 else (c, part)), [c, u, x, n]):
             at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            k = np.diff(np.append(at, len(c))).astype(np.uint32)
-            for held, value in zip(out, (p, c[at].tobytes(), u[at].tobytes(), k.tobytes(), x.tobytes(), n.tobytes())):
+            k, c, u = np.diff(np.append(at, len(c))).astype(np.uint32), c[at], u[at]
+            at = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            j = np.diff(np.append(at, len(u))).astype(np.uint32)
+            for held, value in zip(out, (p, u[at].tobytes(), j.tobytes(), c.tobytes(), k.tobytes(), x.tobytes(), n.tobytes())):
                 held.append(value)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(v, pa.binary()) for v in out[1:])], names=["part", *names])
 
@@ -212,8 +214,8 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
     def merge(found):
         import pyarrow as pa
 
-        c, u, k, x, n = (np.frombuffer(b"".join(found.column(name).to_pylist()), np.uint32 if name in "kn" else np.uint64) for name in names)
-        c, u = np.repeat(c, k), np.repeat(u, k)
+        u, j, c, k, x, n = (np.frombuffer(b"".join(found.column(name).to_pylist()), np.uint32 if name in "jkn" else np.uint64) for name in names)
+        c, u = np.repeat(c, k), np.repeat(np.repeat(u, j), k)
         order = np.lexsort((x, c))
         c, u, x, n = c[order], u[order], x[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])))
@@ -243,7 +245,7 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
         columns |= {name: column(v[own], whole, v[h]) for name, v in (("m", m), ("t", t), ("r", r))} | {"n1": column(n1, ~known, None)}
         return pa.table(columns)
 
-    dealt = texts.mapInArrow(run, "part int, c binary, u binary, k binary, x binary, n binary")
+    dealt = texts.mapInArrow(run, "part int, u binary, j binary, c binary, k binary, x binary, n binary")
     return dealt.groupBy("part").applyInArrow(merge, "g long, s long, c long, u long, n long, m long, t long, r long, n1 long")
 
 
