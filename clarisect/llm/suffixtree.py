@@ -16,7 +16,7 @@ DEPTH = 2
 #: Uses from which a context may be a state, and a next word has a figure of its own, whatever the input's size.
 LEAST_USES = 2
 #: Nats by which a state's next-word distribution must diverge from its parent's: per word, and over all its uses.
-LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.01, 12.0
+LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.01, 16.0
 #: Words, and longer sequences, whose figures are broadcast, most frequent first; all others are looked up by a join.
 HEAD_WORDS = 400_000
 #: Bits that tell which contexts and sequences may be looked up; more of them only make the filter idle.
@@ -24,6 +24,8 @@ MARK_BITS = 27
 #: Places of a text that a task gathers before it gives out its sums, and places that one part of a table stands for,
 #: about: the memory of a task, whatever the input's size.
 GATHERED, PART_PLACES = 1 << 20, 1 << 20
+#: Parts of the figures' table at least, so that small tables are dealt like larger ones.
+LOOKUP_PARTS = 24
 #: Keys of the places before and after a text's words.
 BEGIN, STOP = np.uint64(0x6A09E667F3BCC909), np.uint64(0x3C6EF372FE94F82B)
 TEXTS, WORDS = 0, 1
@@ -454,7 +456,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop(*grams)
     scratch.release()
     head = arrays(_head(words, "word", head_words), "word", "n", "fall")
-    gains = _looked_up(rows, figures.select("key", "v"), arrays(_head(figures, "key", head_words), "key", "v"), bitmap(figures.select("key"), MARK_BITS), -(-max(1, total) // (4 * PART_PLACES)))
+    gains = _looked_up(rows, figures.select("key", "v"), arrays(_head(figures, "key", head_words), "key", "v"), bitmap(figures.select("key"), MARK_BITS), max(LOOKUP_PARTS, -(-total // (4 * PART_PLACES))))
     gains = scratch.put(gains.groupBy("rid").agg(F.sum("gain").alias("gain")), "gains")
     scratch.release()
 

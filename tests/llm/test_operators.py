@@ -503,11 +503,11 @@ def test_suffix_tree_of_words(spark, tmp_path, monkeypatch, head, places):
 
     states = set()
     for c, n in seen.items():
-        if not c or not n or uses[c] * math.log(uses[c[1:]] / uses[c]) < 12 - 1e-6:
+        if not c or not n or uses[c] * math.log(uses[c[1:]] / uses[c]) < 16 - 1e-6:
             continue
         rest, p = uses[c] - sum(n.values()), {x: chance(c[1:], x) for x in n}
         gain = sum(k * math.log(k / uses[c] / p[x]) for x, k in n.items()) + (rest * math.log(rest / uses[c] / (1 - sum(p.values()))) if rest else 0)
-        if gain >= 12 and gain >= 0.01 * uses[c]:
+        if gain >= 16 and gain >= 0.01 * uses[c]:
             states |= {c[i:] for i in range(len(c))}
     assert {len(c) for c in states} == {1, 2}
     for c in list(states)[:20]:  # a distribution: the words seen anywhere and 0.1 for the unknown one
