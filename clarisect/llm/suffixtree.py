@@ -252,7 +252,7 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
 
 
 def _grow(training: DataFrame, words: DataFrame, total: int, texts: int, below: float, head: Head, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Written tables of states and of the grams of contexts, by context length from 1.
+    """Written tables of contexts, where ``own`` tells the states, and of their grams, by context length from 1.
 
     A context is a state if it has LEAST_USES, its next-word distribution diverges enough from its suffix's, and the
     most that its uses could gain, n ln(m / n) nats for n uses and m of its suffix, reaches the evidence; so are all
@@ -300,13 +300,31 @@ def _grow(training: DataFrame, words: DataFrame, total: int, texts: int, below:
             longer = longer | (F.col("n") >= int(LEAST_EVIDENCE * np.e))
         if d < DEPTH:
             marks = bitmap(tables[-1].where(longer).select("g"), MARK_BITS)
-    states, longer = [], None
+    judged, longer = [], None
     for found in contexts[::-1]:
         if longer is not None:
             found = found.join(longer.select(F.col("u").alias("c")).distinct().withColumn("up", F.lit(True)), "c", "left").withColumn("own", F.col("own") | F.coalesce("up", F.lit(False)))
-        longer = scratch.put(found.where("own").select("c", "m", "u", "fall"), "states")
-        states.append(longer)
-    return states[::-1], tables
+        judged.append(scratch.put(found.select("c", "m", "u", "fall", "own"), "states"))
+        longer = judged[-1].where("own")
+    return judged[::-1], tables
+
+
+def _of_states(grams: DataFrame, judged: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``grams`` whose context c is a state.
+
+    A bit map of the states lets few other contexts through; these are listed and taken out. So a table of sequences
+    is dealt by its contexts only where the list is long.
+    """
+    marks = bitmap(judged.where("own").select("c"), MARK_BITS)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(marks, batch.column("c").to_numpy())))
+
+    others = scratch.put(judged.where("not own").select("c").mapInArrow(run, "c long"), "others")
+    return grams.mapInArrow(run, grams.schema).join(slim(others), "c", "left_anti")
 
 
 def _head(table: DataFrame, key: str, room: int) -> DataFrame:
@@ -440,15 +458,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return Head(keys, *[np.bincount(of, table.column(x).to_numpy(), len(keys)) if len(keys) else np.zeros(0) for x in names])
 
     frequent = _head(words, "word", head_words)
-    states, grams = _grow(training, words, total, trained, below, arrays(frequent, "word", "n"), scratch)
+    judged, grams = _grow(training, words, total, trained, below, arrays(frequent, "word", "n"), scratch)
+    states = [x.where("own") for x in judged]
     falls = states[0].select(F.col("c").alias("word"), "fall")
     words = scratch.put(words.join(slim(falls), "word", "left").select("word", "n", F.coalesce("fall", F.lit(0.0)).alias("fall")), "falls")
     begun = falls.where(F.col("word") == F.lit(int(BEGIN))).first()
     begun = begun["fall"] if begun else 0.0
     figures = [s.select(F.col("c").alias("key"), F.col("m").alias("n"), F.col("fall").alias("v")) for s in states[1:]]
-    for s, g in zip(states, grams):
+    for s, g in zip(judged, grams):
         gain = F.log10(1 + F.col("n") / ((F.col("r") + F.col("t")) * F.col("p1")))
-        figures.append(g.join(slim(s.select("c")), "c", "left_semi").select(F.col("g").alias("key"), "n", gain.alias("v")))
+        figures.append(_of_states(g.select("c", F.col("g").alias("key"), "n", gain.alias("v")), s, scratch).drop("c"))
     union = figures[0]
     for f in figures[1:]:
         union = union.unionByName(f)
