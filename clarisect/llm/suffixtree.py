@@ -21,6 +21,8 @@ LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.01, 16.0
 HEAD_WORDS = 400_000
 #: Bits that tell which contexts and sequences may be looked up; more of them only make the filter idle.
 MARK_BITS = 27
+#: Bits that tell which contexts are states; fewer let more other contexts through, which are then listed.
+STATE_BITS = 25
 #: Places of a text that a task gathers before it gives out its sums, and places that one part of a table stands for,
 #: about: the memory of a task, whatever the input's size.
 GATHERED, PART_PLACES = 1 << 20, 1 << 20
@@ -315,7 +317,7 @@ def _of_states(grams: DataFrame, judged: DataFrame, scratch: Scratch) -> DataFra
     A bit map of the states lets few other contexts through; these are listed and taken out. So a table of sequences
     is dealt by its contexts only where the list is long.
     """
-    marks = bitmap(judged.where("own").select("c"), MARK_BITS)
+    marks = bitmap(judged.where("own").select("c"), STATE_BITS)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -479,10 +479,10 @@ def test_suffix_tree_scores(spark):
         assert sum(x["score"] - x["base_score"] for x in got if x["held_out"]) > 0
 
 
-@pytest.mark.parametrize("head,places,bits", [(400_000, 1 << 20, suffixtree.MARK_BITS), (3, 60, 15)])
+@pytest.mark.parametrize("head,places,bits", [(400_000, 1 << 20, suffixtree.STATE_BITS), (3, 60, 15)])
 def test_suffix_tree_of_words(spark, tmp_path, monkeypatch, head, places, bits):
     monkeypatch.setattr(suffixtree, "PART_PLACES", places)
-    monkeypatch.setattr(suffixtree, "MARK_BITS", bits)  # few bits let other contexts through, which are then listed
+    monkeypatch.setattr(suffixtree, "STATE_BITS", bits)  # few bits let other contexts through, which are then listed
     r = random.Random(5)
     phrases = [[f"w{r.randint(0, 40)}" for _ in range(r.randint(3, 9))] for _ in range(25)]
     texts = [" ".join(w for _ in range(r.randint(0, 12)) for w in (r.choice(phrases) if r.random() < 0.7 else [f"w{r.randint(0, 400)}"])) for _ in range(300)]
