@@ -33,13 +33,31 @@ MAP_BITS = 24
 
 
 def bitmap(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """A bit map, of a fixed size, of a table's one column of 64-bit keys, by their upper bits."""
-    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - bits) + 1  # Spark counts bits from 1
-    found = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    """A bit map, of a fixed size, of a table's one column of 64-bit keys, by their upper bits; null keys set none.
+
+    Each task sets its bits and gives out the stretches of the map that have some.
+    """
+    stretch = min(1 << 12, 1 << (bits - 3))
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            places = np.unique(batch.column(0).drop_null().to_numpy().view(np.uint64) >> np.uint64(64 - bits))
+            at, bit = (places >> np.uint64(3)).astype(np.int64), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8)
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+            if len(at):
+                own[at[first]] |= np.bitwise_or.reduceat(bit, first)
+        rows = own.reshape(-1, stretch)
+        some = np.flatnonzero(rows.any(axis=1))
+        for i in range(0, len(some), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 256], pa.int32()), pa.array([rows[k].tobytes() for k in some[i : i + 256]], pa.binary())], names=["bucket", "bits"])
+
+    found = keys.select(F.col(keys.columns[0]).cast("long")).mapInArrow(run, "bucket int, bits binary").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")).collect()
     packed = np.zeros(1 << (bits - 3), np.uint8)
     for r in found:
-        part = np.frombuffer(r["bits"], np.uint8)
-        packed[(r["bucket"] - 1) * len(part) :][: len(part)] = part
+        packed[r["bucket"] * stretch :][:stretch] = np.frombuffer(r["bits"], np.uint8)[:stretch]
     return packed
 
 

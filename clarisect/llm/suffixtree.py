@@ -48,7 +48,7 @@ class Sums:
     def merge(self) -> None:
         keys = np.concatenate([self.keys, *[k for k, _ in self.pending]])
         counts = np.concatenate([self.counts, *[n for _, n in self.pending]])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -166,6 +166,33 @@ def _blobs(part: np.ndarray, order: np.ndarray, columns: list[np.ndarray]):
         yield int(part[lo]), [c[lo:hi] for c in columns]
 
 
+def _together(part: np.ndarray, parts: int, *columns: np.ndarray) -> np.ndarray:
+    """An order by part in which equal rows lie together, but for rows whose bits happen to be shared.
+
+    The order decides only how well runs pack: a run that is cut in two says the same.
+    """
+    left = 64 - (parts - 1).bit_length()
+    key = part.astype(np.uint64) << np.uint64(left) if left < 64 else np.zeros(len(part), np.uint64)
+    width = left // len(columns)
+    for column in columns:
+        left -= width
+        key |= (mix64(column) >> np.uint64(64 - width)) << np.uint64(left)
+    return np.argsort(key)
+
+
+def _by_pair(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """An order in which rows of one c, and in these rows of one x, lie together."""
+    order = np.argsort(c)
+    rank = np.zeros(len(c), np.uint64)
+    rank[order[1:]] = np.cumsum(c[order[1:]] != c[order[:-1]], dtype=np.uint64)
+    bits = max(1, int(rank.max(initial=0)).bit_length())
+    key = (rank << np.uint64(64 - bits)) | (mix64(x) >> np.uint64(bits))
+    order = np.argsort(key)
+    key, x = key[order], x[order]
+    shared = (key[1:] == key[:-1]) & (x[1:] != x[:-1])
+    return np.lexsort((x[np.argsort(order)], c)) if shared.any() else order
+
+
 def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.ndarray, parts: int, base: Head | None) -> DataFrame:
     """Grams of a context of d words and the word that follows: those with LEAST_USES, with the context's figures.
 
@@ -186,11 +213,13 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
         import pyarrow as pa
 
         g, c, u, x = (np.concatenate(a) for a in zip(*gathered))
-        _, first, n = np.unique(g, return_index=True, return_counts=True)
+        order = np.argsort(g)
+        at = np.flatnonzero(np.append(True, g[order[1:]] != g[order[:-1]]))
+        first, n = order[at], np.diff(np.append(at, len(order)))
         c, u, x, n = c[first], u[first], x[first], n.astype(np.uint32)
         part = np.where(is_hot(c), _part_of(x, parts), _part_of(c, parts))
         out = [[] for _ in range(7)]
-        for p, (c, u, x, n) in _blobs(part, np.lexsort((c, u, part) if d > 1 else (c, part)), [c, u, x, n]):
+        for p, (c, u, x, n) in _blobs(part, _together(part, parts, *([u, c] if d > 1 else [c])), [c, u, x, n]):
             at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             k, c, u = np.diff(np.append(at, len(c))).astype(np.uint32), c[at], u[at]
             at = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
@@ -220,7 +249,7 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
 
         u, j, c, k, x, n = (np.frombuffer(b"".join(found.column(name).to_pylist()), np.uint32 if name in "jkn" else np.uint64) for name in names)
         c, u = np.repeat(c, k), np.repeat(np.repeat(u, j), k)
-        order = np.lexsort((x, c))
+        order = _by_pair(c, x)
         c, u, x, n = c[order], u[order], x[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])))
         c, u, x, n = c[at], u[at], x[at], np.add.reduceat(n, at)
@@ -404,8 +433,10 @@ def _looked_up(rows: DataFrame, figures: DataFrame, head: Head, marks: np.ndarra
         value = np.bincount(first, table.column("v").to_numpy(), len(own)) if len(own) else np.zeros(0)
         found = np.zeros(len(key))
         if len(own):
-            at = np.minimum(np.searchsorted(own, key), len(own) - 1)
-            found = np.where(own[at] == key, value[at], 0.0)
+            order = np.argsort(key)  # near keys are near in the table
+            asked = key[order]
+            at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+            found[order] = np.where(own[at] == asked, value[at], 0.0)
         ends = np.concatenate([[0.0], np.cumsum(found)])
         stops = np.cumsum(k.astype(np.int64))
         names, of = np.unique(rid, return_inverse=True)
