@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import numbered, slim
@@ -215,6 +215,12 @@ def _at_least(n: np.ndarray, similarity: int) -> np.ndarray:
     return _listed(n, similarity) - (n - (similarity * n + 99) // 100)
 
 
+def _bounds(similarity: int) -> tuple[Column, Column]:
+    """The same as columns of ``n``: (the least overlap of a link, the least number of listed shingles shared)."""
+    needed = F.ceil(F.lit(similarity) * F.col("n") / F.lit(100) - F.lit(1e-9))
+    return needed, F.least(F.col("n"), F.col("n") - needed + 1 + F.expr(f"{SPARE} * n div 100")) - (F.col("n") - needed)
+
+
 def _leaders(texts: DataFrame, reps: DataFrame, scratch: Scratch, k: int, similarity: int) -> tuple[DataFrame, DataFrame]:
     """(links, components) from bands of minima: each document is compared with one leader of its bands, then each
     group that has formed with one document of each other group that a band still joins it to."""
@@ -270,8 +276,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.release()
 
     # a document that links misses at most n - needed of its own entries in the other one
-    needed = F.ceil(F.lit(similarity) * F.col("n") / F.lit(100) - F.lit(1e-9))
-    at_least = F.least(F.col("n"), F.col("n") - needed + 1 + F.expr(f"{SPARE} * n div 100")) - (F.col("n") - needed)
+    needed, at_least = _bounds(similarity)
 
     def shared_cells(rows: DataFrame) -> DataFrame:
         """Tokens in the unions of two groups or more."""
@@ -328,15 +333,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return linked.unionByName(empty)
 
 
+def _telling(entries: DataFrame, scratch: Scratch, similarity: int) -> DataFrame:
+    """(rid, tok, f): the entries by which documents of different groups that link are sure to meet, f the first
+    document with that entry.
+
+    Two such documents share at least ``at_least`` of the entries left to either. By one order of all entries, the
+    rarest of what they share has that many less one after it in both, so either may leave out so many of its most
+    frequent ones. Counts are exact here, other than those of the sketch, which orders the shingles of all documents.
+    """
+    often = scratch.put(entries.groupBy("tok").agg(F.count("*").alias("f")), "often")
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("f").desc(), F.col("tok").desc()))
+    rare = entries.join(often, "tok").withColumn("rank", rank).where(F.col("rank") >= _bounds(similarity)[1])
+    rare = scratch.put(rare.select("rid", "comp", "tok"), "rare")
+    first = rare.groupBy("tok").agg(F.min("rid").alias("f"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+    return rare.select("rid", "tok").join(scratch.put(first.select("tok", "f"), "first"), "tok")
+
+
 def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
     """A link between any two groups that common entries still connect and that have one.
 
-    Documents that entries connect form a cluster. A large group of a cluster is cut into blocks of its own, all
+    Documents that their telling entries connect form a cluster. A large group of a cluster is cut into blocks of its own, all
     small ones share blocks; each pair of blocks that does not lie in one group goes to a task of its own, which
     counts the common shingles of its pairs in a matrix and gives out one link for two groups.
     """
-    first = scratch.put(entries.groupBy("tok").agg(F.min("rid").alias("f")), "first")
-    edges = entries.select("rid", "tok").join(first, "tok").where("rid <> f").select(F.col("rid").alias("a"), F.col("f").alias("b")).distinct()
+    scratch.release()
+    edges = _telling(entries, scratch, similarity).where("rid <> f").select(F.col("rid").alias("a"), F.col("f").alias("b")).distinct()
     clusters = components(scratch.put(edges, "edges"), scratch).select(F.col("v").alias("rid"), F.col("comp").alias("cluster"))
     members = scratch.put(entries.select("rid", "n", "comp").distinct().join(clusters, "rid"), "members")
 

@@ -293,6 +293,31 @@ def test_similar_groups(spark, tmp_path, monkeypatch, block, report, bands):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_similar_groups_do_not_compare_all_texts_with_a_common_passage(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for _ in range(40):
+        base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        other = list(base)
+        for k in (20, 50, 80):  # too many to link, too few to tell by counts of shared shingles
+            other[k] = f"x{r.randrange(10**6)}"
+        texts += [" ".join(base + passage), " ".join(other + passage)]
+    monkeypatch.setattr(ngramjoin, "REPORT", 1 << 20)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 4)
+    sizes, put = {}, shared.Scratch.put
+
+    def counted(self, df, name="t"):
+        out = put(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(shared.Scratch, "put", counted)
+    got = ngramjoin.similar_groups(plain(spark, tmp_path, texts)).collect()
+    assert all(x["component_id"] == x["doc_id"] for x in got) and len(got) == 80
+    assert 30 <= sizes["block_pairs"] <= 45
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcdefgh"]
