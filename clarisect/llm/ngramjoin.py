@@ -253,8 +253,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles of every document by group. A document that links outside its group finds all but a few of these
     among the tokens of other groups, of documents of its size; one that does not is closed, and so, step by
     step, are those that only closed documents made look alike. What is still connected is opened: blocks of
-    different groups are compared in full. Of the links between two groups one is kept, as the result is the
-    components: no pairs within a group are formed or given out.
+    different groups are compared in full. Of the links that a pair of blocks has, those of a spanning forest of the
+    groups are kept, as the result is the components: no pairs within a group are formed or given out.
     No partners or candidates are dropped, so no two groups that a link joins stay apart.
 
     Returns ``doc_id, n_shingles, component_id``, one row per input row, plus ``rid`` to tell rows apart and
@@ -333,6 +333,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return linked.unionByName(empty)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of edges that connect what all edges (a, b) connect, fewer than there are vertices."""
+    ends = np.stack([np.minimum(a, b), np.maximum(a, b)])
+    _, fresh = np.unique(ends, axis=1, return_index=True)
+    _, ends = np.unique(ends[:, fresh], return_inverse=True)
+    ends = ends.reshape(2, -1)
+    up, kept = list(range(int(ends.max(initial=-1)) + 1)), []
+
+    def root(v: int) -> int:
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for i, x, y in zip(fresh.tolist(), *ends.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[y] = x
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
 def _telling(entries: DataFrame, scratch: Scratch, similarity: int) -> DataFrame:
     """(rid, tok, f): the entries by which documents of different groups that link are sure to meet, f the first
     document with that entry.
@@ -350,14 +371,17 @@ def _telling(entries: DataFrame, scratch: Scratch, similarity: int) -> DataFrame
 
 
 def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, similarity: int) -> DataFrame:
-    """A link between any two groups that common entries still connect and that have one.
+    """Links that connect all groups that common entries still connect and that have a link.
 
     Documents that their telling entries connect form a cluster. A large group of a cluster is cut into blocks of its own, all
     small ones share blocks; each pair of blocks that does not lie in one group goes to a task of its own, which
-    counts the common shingles of its pairs in a matrix and gives out one link for two groups.
+    counts the common shingles of its pairs in a matrix and gives out links that connect the groups that any connect.
     """
     scratch.release()
-    edges = _telling(entries, scratch, similarity).where("rid <> f").select(F.col("rid").alias("a"), F.col("f").alias("b")).distinct()
+    # a document meets the least of its firsts, and that one the others: as connected, and few edges in groups alike
+    met = _telling(entries, scratch, similarity).groupBy("rid", "f").agg(F.lit(1)).withColumn("m", F.min("f").over(Window.partitionBy("rid")))
+    ends = F.array(F.struct(F.col("rid").alias("a"), F.col("m").alias("b")), F.struct(F.col("f").alias("a"), F.col("m").alias("b")))
+    edges = met.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
     clusters = components(scratch.put(edges, "edges"), scratch).select(F.col("v").alias("rid"), F.col("comp").alias("cluster"))
     members = scratch.put(entries.select("rid", "n", "comp").distinct().join(clusters, "rid"), "members")
 
@@ -407,7 +431,7 @@ def _opened(texts: DataFrame, entries: DataFrame, scratch: Scratch, k: int, simi
         b = b + middle
         keep = (comp[a] != comp[b]) & (100 * both >= similarity * (n[a] + n[b] - both))
         a, b = a[keep], b[keep]
-        _, one = np.unique(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])]), axis=1, return_index=True)
+        one = _forest(comp[a], comp[b])
         return pa.table([pa.array(rid[a[one]]), pa.array(rid[b[one]])], names=["a", "b"])
 
     return scratch.put(dealt.groupBy("pair").applyInArrow(compare, "a long, b long"), "more")

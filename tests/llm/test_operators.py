@@ -318,6 +318,18 @@ def test_similar_groups_do_not_compare_all_texts_with_a_common_passage(spark, tm
     assert 30 <= sizes["block_pairs"] <= 45
 
 
+def test_links_of_a_pair_of_blocks_are_a_forest():
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(5, 65), np.arange(5, 65)))
+    keep = (a != b) & (a % 2 == b % 2)
+    kept = ngramjoin._forest(a[keep], b[keep])
+    assert len(kept) == 58 and len(ngramjoin._forest(a[:0], b[:0])) == 0
+    up = {v: v for v in range(5, 65)}
+    for x, y in zip(a[keep][kept].tolist(), b[keep][kept].tolist()):
+        old, new = up[y], up[x]
+        up = {v: new if c == old else c for v, c in up.items()}
+    assert len({(v % 2, c) for v, c in up.items()}) == 2
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcdefgh"]
