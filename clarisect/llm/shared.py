@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,43 @@ class Scratch(Tables):
         bounded_batches(spark)
 
 
+def give_back() -> None:
+    """Hands the memory that this Python worker has freed to the system, which an idle worker would keep."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only the GNU library has it
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, giving back its memory as a task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def flat(column, kind) -> np.ndarray:
+    """The numbers that the values of a PyArrow binary column without nulls hold, one value after another."""
+    import pyarrow as pa
+
+    held = [np.zeros(0, np.uint8)]
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            _, offsets, data = chunk.buffers()
+            offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            if offsets[-1] > offsets[0]:
+                held.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]])
+    return np.concatenate(held).view(kind)
+
+
 #: Bits of a map that tells which keys a table may hold; more keys than bits only make the filter idle.
 MAP_BITS = 24
 
@@ -81,6 +121,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _MIX = np.random.default_rng(20240229)
 BYTE = _MIX.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER_BYTE, _IN_WORD, _IN_ALNUM = BYTE[_LOWER], ~_SPACE, _ALNUM[_LOWER]
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STEP_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text handled at once, so that the 64-bit temporaries stay near 10 MB each.
@@ -110,34 +151,25 @@ def powers(base: np.uint64, n: int, key: str) -> np.ndarray:
     return have[:n]
 
 
-def word_table(data: np.ndarray, ends: np.ndarray, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of many texts that lie one after another in ``data`` (uint8), text i ending at ends[i].
+def word_hashes(texts: list[bytes], alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the words' hashes, one text after another.
 
     Words are runs of bytes that are not white space, or with ``alnum`` runs of digits, letters a-z and
-    bytes from 0x80; A-Z count as a-z. Returns the words' hashes, start and end bytes, and text numbers.
+    bytes from 0x80; A-Z count as a-z. A hash depends on the word alone, not on its place.
     """
-    low = _LOWER[data]
-    inside = _ALNUM[low] if alnum else ~_SPACE[low]
-    before = np.empty(len(inside) + 1, bool)
-    before[0] = False
-    before[1:] = inside
-    starts_text = np.zeros(len(inside) + 1, bool)
-    starts_text[0] = True
-    starts_text[ends] = True
-    fresh = starts_text[:-1]
-    begin = inside & (fresh | ~before[:-1])
-    after = np.empty(len(inside), bool)
-    after[:-1] = inside[1:]
-    if len(after):
-        after[-1] = False
-    end = inside & (starts_text[1:] | ~after)
-    lo = np.flatnonzero(begin)
-    hi = np.flatnonzero(end) + 1
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(BYTE[low] * powers(STEP, len(low), "up"), dtype=np.uint64, out=total[1:])
-    spread = (total[hi] - total[lo]) * powers(STEP_INVERSE, len(low) + 1, "down")[lo]
-    hashes = mix64(spread ^ (hi - lo).astype(np.uint64))
-    return hashes, lo, hi, np.searchsorted(ends, lo, side="right")
+    data = np.frombuffer(b"".join((b" ", b" ".join(texts), b" ")), np.uint8)
+    inside = _IN_ALNUM[data] if alnum else _IN_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # the last places before words, and of words
+    before, last = edges[0::2], edges[1::2]
+    total = _LOWER_BYTE[data]
+    total *= powers(STEP, len(data), "up")
+    np.cumsum(total, out=total)
+    hashes = total[last]
+    hashes -= total[before]
+    hashes *= powers(STEP_INVERSE, len(data), "down")[before + 1]
+    hashes ^= (last - before).view(np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return np.diff(np.searchsorted(before, ends), prepend=0), mix64(hashes)
 
 
 def text_bytes(column) -> list[bytes]:
@@ -170,9 +202,7 @@ def _parts(text: bytes, alnum: bool):
 def hashed_words(texts: list[bytes], alnum: bool = False):
     """Runs of texts as (number of the first, how many words each has, the words' hashes one after another)."""
     def run(first, held):
-        data = np.frombuffer(b"".join(held), np.uint8)
-        hashes, _, _, owner = word_table(data, np.cumsum([len(x) for x in held]), alnum)
-        return first, np.bincount(owner, minlength=len(held)), hashes
+        return first, *word_hashes(held, alnum)
 
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):

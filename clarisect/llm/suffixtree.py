@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import numbered, slim
-from .shared import STEP, Scratch, bitmap, hashed_words, in_bitmap, mix64, text_bytes
+from .shared import STEP, Scratch, bitmap, flat, give_back, hashed_words, in_bitmap, lean, mix64, text_bytes
 
 #: Longest context, in words.
 DEPTH = 2
@@ -26,6 +26,8 @@ STATE_BITS = 25
 #: Places of a text that a task gathers before it gives out its sums, and places that one part of a table stands for,
 #: about: the memory of a task, whatever the input's size.
 GATHERED, PART_PLACES = 1 << 20, 1 << 20
+#: Sequences of a part that meet its figures at once.
+MEETING = 1 << 18
 #: Parts of the figures' table at least, so that small tables are dealt like larger ones.
 LOOKUP_PARTS = 24
 #: Keys of the places before and after a text's words.
@@ -84,7 +86,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
         yield from rows()
         yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int8()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["kind", "key", "n"])
 
-    return texts.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 class HashTable:
@@ -110,13 +112,17 @@ class HashTable:
         out = np.full(len(keys), -1, np.int32)
         if not len(self.keys):
             return out
-        at, left = self._home(keys), np.arange(len(keys))
-        while len(left):
+        at, left = self._home(keys), None
+        while left is None or len(left):
             slot = self.slots[at]
-            same = (slot >= 0) & (self.keys[slot] == keys[left])
-            out[left[same]] = slot[same]
-            on = (slot >= 0) & ~same
-            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            same = self.keys[slot] == (keys if left is None else keys[left])
+            same &= slot >= 0
+            if left is None:
+                np.copyto(out, slot, where=same)
+            else:
+                out[left[same]] = slot[same]
+            on = np.flatnonzero((slot >= 0) & ~same)
+            left, at = on if left is None else left[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
 
@@ -157,11 +163,9 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((mix64(keys ^ STEP) >> np.uint64(16)) % np.uint64(parts)).astype(np.int16 if parts < 1 << 15 else np.int32)
 
 
-def _blobs(part: np.ndarray, order: np.ndarray, columns: list[np.ndarray]):
-    """(part, slices) of columns that lie in the given order by part."""
-    part = part[order]
+def _blobs(part: np.ndarray, columns: list[np.ndarray]):
+    """(part, slices) of columns whose rows lie by part."""
     cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-    columns = [c[order] for c in columns]
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         yield int(part[lo]), [c[lo:hi] for c in columns]
 
@@ -212,14 +216,16 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
     def packed(gathered: list):
         import pyarrow as pa
 
-        g, c, u, x = (np.concatenate(a) for a in zip(*gathered))
-        order = np.argsort(g)
-        at = np.flatnonzero(np.append(True, g[order[1:]] != g[order[:-1]]))
-        first, n = order[at], np.diff(np.append(at, len(order)))
-        c, u, x, n = c[first], u[first], x[first], n.astype(np.uint32)
-        part = np.where(is_hot(c), _part_of(x, parts), _part_of(c, parts))
+        c, u, x = (np.concatenate(a) for a in zip(*gathered))
+        gathered.clear()
+        part, some = _part_of(c, parts), np.flatnonzero(is_hot(c))
+        part[some] = _part_of(x[some], parts)
+        order = _together(part, parts, *([u, c, x] if d > 1 else [c, x]))
+        c, x = c[order], x[order]
+        at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]))) if len(c) else order
+        n, order = np.diff(np.append(at, len(c))).astype(np.uint32), order[at]
         out = [[] for _ in range(7)]
-        for p, (c, u, x, n) in _blobs(part, _together(part, parts, *([u, c] if d > 1 else [c])), [c, u, x, n]):
+        for p, (c, u, x, n) in _blobs(part[order], [c[at], u[order], x[at], n]) if len(at) else ():
             at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             k, c, u = np.diff(np.append(at, len(c))).astype(np.uint32), c[at], u[at]
             at = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
@@ -232,11 +238,11 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
         gathered, size = [], 0
         for batch in batches:
             for _, sizes, hashes in hashed_words(text_bytes(batch.column(0))):
-                _, place, keys = sequences(sizes, hashes, d + 1)
+                _, place, keys = sequences(sizes, hashes, d)
                 at = np.flatnonzero(place >= d)
                 if marks is not None:
                     at = at[in_bitmap(marks, keys[d - 1][at - 1])]
-                gathered.append((keys[d][at], keys[d - 1][at - 1], keys[d - 2][at - 1] if d > 1 else np.zeros(len(at), np.uint64), keys[0][at]))
+                gathered.append((keys[d - 1][at - 1], keys[d - 2][at - 1] if d > 1 else np.zeros(len(at), np.uint64), keys[0][at]))
                 size += len(at)
                 if size >= GATHERED:
                     yield packed(gathered)
@@ -247,7 +253,7 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
     def merge(found):
         import pyarrow as pa
 
-        u, j, c, k, x, n = (np.frombuffer(b"".join(found.column(name).to_pylist()), np.uint32 if name in "jkn" else np.uint64) for name in names)
+        u, j, c, k, x, n = (flat(found.column(name), np.uint32 if name in "jkn" else np.uint64) for name in names)
         c, u = np.repeat(c, k), np.repeat(np.repeat(u, j), k)
         order = _by_pair(c, x)
         c, u, x, n = c[order], u[order], x[order], n[order].astype(np.int64)
@@ -278,8 +284,14 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
         columns |= {name: column(v[own], whole, v[h]) for name, v in (("m", m), ("t", t), ("r", r))} | {"n1": column(n1, ~known, None)}
         return pa.table(columns)
 
-    dealt = texts.mapInArrow(run, "part int, u binary, j binary, c binary, k binary, x binary, n binary")
-    return dealt.groupBy("part").applyInArrow(merge, "g long, s long, c long, u long, n long, m long, t long, r long, n1 long")
+    def merged(found):
+        try:
+            return merge(found)
+        finally:
+            give_back()
+
+    dealt = texts.mapInArrow(lean(run), "part int, u binary, j binary, c binary, k binary, x binary, n binary")
+    return dealt.groupBy("part").applyInArrow(merged, "g long, s long, c long, u long, n long, m long, t long, r long, n1 long")
 
 
 def _grow(training: DataFrame, words: DataFrame, total: int, texts: int, below: float, head: Head, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -390,7 +402,8 @@ def _looked_up(rows: DataFrame, figures: DataFrame, head: Head, marks: np.ndarra
             for held, value in zip(out, (p, rid.tobytes(), k.astype(np.uint32).tobytes(), key.tobytes(), gain.tobytes())):
                 held.append(value)
 
-        for p, (r, x) in _blobs(part, np.argsort(part, kind="stable"), [rid, key]) if len(key) else ():
+        order = np.argsort(part, kind="stable")
+        for p, (r, x) in _blobs(part[order], [rid[order], key[order]]) if len(key) else ():
             at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             put(p, r[at], np.diff(np.append(at, len(r))), x, np.zeros(len(at)))
         own, gain = (np.concatenate(a) for a in zip(*sums))
@@ -428,33 +441,54 @@ def _looked_up(rows: DataFrame, figures: DataFrame, head: Head, marks: np.ndarra
         import pyarrow as pa
 
         kinds = {"rid": np.int64, "k": np.uint32, "key": np.uint64, "gain": np.float64}
-        rid, k, key, gain = (np.frombuffer(b"".join(lookups.column(c).to_pylist()), kind) for c, kind in kinds.items())
-        own, first = np.unique(table.column("key").to_numpy().view(np.uint64), return_inverse=True)
-        value = np.bincount(first, table.column("v").to_numpy(), len(own)) if len(own) else np.zeros(0)
-        found = np.zeros(len(key))
-        if len(own):
-            order = np.argsort(key)  # near keys are near in the table
-            asked = key[order]
+        rid, k, key, gain = (flat(lookups.column(c), kind) for c, kind in kinds.items())
+        own, first = np.unique(flat(table.column("key"), np.uint64), return_inverse=True)
+        value = np.bincount(first, flat(table.column("v"), np.float64), len(own)) if len(own) else np.zeros(0)
+        ends = np.zeros(len(key) + 1)
+        for lo in range(0, len(key) if len(own) else 0, MEETING):
+            asked = key[lo : lo + MEETING]
+            order = np.argsort(asked)  # near keys are near in the table
+            asked = asked[order]
             at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-            found[order] = np.where(own[at] == asked, value[at], 0.0)
-        ends = np.concatenate([[0.0], np.cumsum(found)])
+            ends[lo + 1 + order] = np.where(own[at] == asked, value[at], 0.0)
+        np.cumsum(ends, out=ends)
         stops = np.cumsum(k.astype(np.int64))
         names, of = np.unique(rid, return_inverse=True)
         return pa.table({"rid": names, "gain": np.bincount(of, gain + ends[stops] - ends[stops - k], len(names)) if len(names) else np.zeros(0)})
 
-    lookups = rows.select("rid", "text").mapInArrow(run, "part int, rid binary, k binary, key binary, gain binary")
-    # the same mix as in _part_of, on the driver's side of the figures
-    parted = figures.mapInArrow(_with_part(parts), "part int, key long, v double")
-    return lookups.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(meet, "rid long, gain double")
+    def met(lookups, table):
+        try:
+            return meet(lookups, table)
+        finally:
+            give_back()
 
+    lookups = rows.select("rid", "text").mapInArrow(lean(run), "part int, rid binary, k binary, key binary, gain binary")
+    parted = figures.mapInArrow(lean(_parted(parts)), "part int, key binary, v binary")
+    return lookups.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(met, "rid long, gain double")
 
-def _with_part(parts: int):
-    def run(batches: Iterator) -> Iterator:
+
+def _parted(parts: int):
+    """Figures packed by parts of their keys."""
+
+    def packed(gathered: list):
         import pyarrow as pa
 
+        key, v = (np.concatenate(a) for a in zip(*gathered))
+        part = _part_of(key, parts)
+        order = np.argsort(part, kind="stable")
+        found = [(p, k.tobytes(), x.tobytes()) for p, (k, x) in _blobs(part[order], [key[order], v[order]])] if len(key) else []
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "key", "v"])
+
+    def run(batches: Iterator) -> Iterator:
+        gathered, size = [], 0
         for batch in batches:
-            part = _part_of(batch.column("key").to_numpy().view(np.uint64), parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("key"), batch.column("v")], names=["part", "key", "v"])
+            gathered.append((batch.column("key").to_numpy().view(np.uint64), batch.column("v").to_numpy()))
+            size += batch.num_rows
+            if size >= GATHERED:
+                yield packed(gathered)
+                gathered, size = [], 0
+        if size:
+            yield packed(gathered)
 
     return run
 
@@ -536,7 +570,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), flat(n_tokens, pa.int64()), flat(n_seen, pa.int64()), flat(base, pa.float64()), flat(fall, pa.float64()), tails], names=["rid", "doc_id", "held_out", "n_tokens", "seen", "base", "fall", "tail"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = scratch.put(rows.select("rid", "text", "doc_id", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, fall double, tail array<long>"), "scored")
+    scored = scratch.put(rows.select("rid", "text", "doc_id", "held_out").mapInArrow(lean(run), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, fall double, tail array<long>"), "scored")
     rare = scored.select("rid", F.explode("tail").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     count = F.coalesce(F.col("n"), F.lit(0))
     tails = (

@@ -3,17 +3,22 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clarisect.llm import blocknames, decontaminate, mixing, ngramjoin, personal, quality, repeats, sharding, shared, suffixtree, tokencount, trees
 from clarisect.sources.scratch import shared_folder
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CLASHES = ["size", "score", "shard", "slot", "range", "kept", "rid", "n_words", "n_hit", "group_size", "comp", "tok", "held_out", "predicted", "taken", "target", "name", "level", "c", "n"]
 
 
@@ -577,6 +582,59 @@ def test_hash_table():
     assert (suffixtree.HashTable(keys[:0]).find(keys) == -1).all()
 
 
+KEEPS = """
+import re, sys
+import numpy as np, pyarrow as pa
+from clarisect.llm import shared, suffixtree
+
+class Frame:
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+    def groupBy(self, *by):
+        return self
+    def applyInArrow(self, merge, schema):
+        return self
+
+def anonymous():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+r = np.random.default_rng(3)
+batches = [pa.record_batch([pa.array([" ".join(f"w{x}" for x in r.zipf(1.2, 400) % 200_000) for _ in range(600)])], names=["text"]) for _ in range(8)]
+frame = Frame()
+suffixtree._count_grams(frame, 2, np.full(1 << 20, 255, np.uint8), np.zeros(0, np.uint64), 40, None)
+before, n = anonymous(), 0
+for out in frame.run(batches):
+    n += out.nbytes
+del out
+assert n > 10e6
+print(anonymous() - before)
+"""
+
+
+def test_a_worker_keeps_little_after_a_task():
+    out = subprocess.run([sys.executable, "-c", KEEPS], capture_output=True, text=True, cwd=ROOT, env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert not out.returncode, out.stderr
+    assert float(out.stdout) < 70
+
+
+def test_numbers_of_a_binary_column():
+    chunks = [pa.array([b"", b"a" * 24, b"b" * 8]).slice(1), pa.array([], pa.binary()), pa.array([b"", b""]), pa.array([b"c" * 16, b"d" * 8]).slice(0, 1)]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.chunked_array([c.cast(kind) for c in chunks])
+        assert shared.flat(column, np.uint64).tobytes() == b"".join(column.to_pylist())
+        assert len(shared.flat(column.slice(0, 0), np.uint64)) == 0
+
+
+def test_suffix_tree_meets_figures_in_pieces(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    docs = plain(spark, tmp_path, [" ".join(f"w{int(r.paretovariate(0.6)) % 60}" for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, ""])
+    want = {x["doc_id"]: x["score"] for x in suffixtree.score_texts(docs).collect()}
+    monkeypatch.setattr(suffixtree, "MEETING", 5)
+    got = {x["doc_id"]: x["score"] for x in suffixtree.score_texts(docs, head_words=2).collect()}
+    assert got == pytest.approx(want) and len(got) == 202
+
+
 # ---- words
 
 def test_words_match_python(monkeypatch):
