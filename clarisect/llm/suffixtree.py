@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import numbered, slim
-from .shared import STEP, Scratch, bitmap, flat, give_back, hashed_words, in_bitmap, lean, mix64, text_bytes
+from .shared import BATCH, STEP, Scratch, bitmap, flat, give_back, hashed_words, in_bitmap, lean, mix64, text_bytes
 
 #: Longest context, in words.
 DEPTH = 2
@@ -197,6 +197,12 @@ def _by_pair(c: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.lexsort((x[np.argsort(order)], c)) if shared.any() else order
 
 
+def _in_batches(batch) -> list:
+    """A PyArrow batch or table cut into batches near BATCH bytes: the executor's JVM holds one at a time."""
+    at_once = max(1, batch.num_rows * BATCH // max(1, batch.nbytes))
+    return [batch] if batch.num_rows <= at_once else [batch.slice(at, at_once) for at in range(0, batch.num_rows, at_once)]
+
+
 def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.ndarray, parts: int, base: Head | None) -> DataFrame:
     """Grams of a context of d words and the word that follows: those with LEAST_USES, with the context's figures.
 
@@ -245,10 +251,10 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
                 gathered.append((keys[d - 1][at - 1], keys[d - 2][at - 1] if d > 1 else np.zeros(len(at), np.uint64), keys[0][at]))
                 size += len(at)
                 if size >= GATHERED:
-                    yield packed(gathered)
+                    yield from _in_batches(packed(gathered))
                     gathered, size = [], 0
         if size:
-            yield packed(gathered)
+            yield from _in_batches(packed(gathered))
 
     def merge(found):
         import pyarrow as pa
@@ -282,7 +288,7 @@ def _count_grams(texts: DataFrame, d: int, marks: np.ndarray | None, hot: np.nda
 
         columns = {"g": column(g, None, None), "s": column(s, None, None), "c": column(c1, None, c[first][h]), "u": column(u1, None, u[first][h]), "n": column(n[keep], None, None)}
         columns |= {name: column(v[own], whole, v[h]) for name, v in (("m", m), ("t", t), ("r", r))} | {"n1": column(n1, ~known, None)}
-        return pa.table(columns)
+        return pa.concat_tables(_in_batches(pa.table(columns)))
 
     def merged(found):
         try:
@@ -432,10 +438,10 @@ def _looked_up(rows: DataFrame, figures: DataFrame, head: Head, marks: np.ndarra
                 gathered.append((rids[first + at[order]], key[order]))
                 size += len(at) + len(sizes)
                 if size >= GATHERED:
-                    yield packed(gathered, sums, turn)
+                    yield from _in_batches(packed(gathered, sums, turn))
                     gathered, sums, size, turn = [], [], 0, turn + 1
         if sums:
-            yield packed(gathered, sums, turn)
+            yield from _in_batches(packed(gathered, sums, turn))
 
     def meet(lookups, table):
         import pyarrow as pa
@@ -485,10 +491,10 @@ def _parted(parts: int):
             gathered.append((batch.column("key").to_numpy().view(np.uint64), batch.column("v").to_numpy()))
             size += batch.num_rows
             if size >= GATHERED:
-                yield packed(gathered)
+                yield from _in_batches(packed(gathered))
                 gathered, size = [], 0
         if size:
-            yield packed(gathered)
+            yield from _in_batches(packed(gathered))
 
     return run
 

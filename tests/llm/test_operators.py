@@ -626,6 +626,33 @@ def test_numbers_of_a_binary_column():
         assert len(shared.flat(column.slice(0, 0), np.uint64)) == 0
 
 
+class Frame:
+    """Takes the functions that a data frame would run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def groupBy(self, *by):
+        return self
+
+    def applyInArrow(self, merge, schema):
+        self.merge = merge
+        return self
+
+
+def test_parts_of_the_tree_come_in_small_batches():
+    r = np.random.default_rng(4)
+    batches = [pa.record_batch([pa.array([" ".join(f"w{x}" for x in r.zipf(1.2, 400) % 200_000) for _ in range(600)])], names=["text"]) for _ in range(10)]
+    frame = Frame()
+    suffixtree._count_grams(frame, 1, None, np.zeros(0, np.uint64), 10, None)
+    dealt = list(frame.run(batches))
+    assert sum(x.nbytes for x in dealt) > 8e6 and max(x.nbytes for x in dealt) < 1.25 * shared.BATCH
+    merged = frame.merge(pa.Table.from_batches(dealt))
+    assert merged.num_rows == len(set(merged.column("g").to_pylist())) and merged.nbytes > 2 * shared.BATCH
+    assert max(x.nbytes for x in merged.to_batches()) < 1.25 * shared.BATCH
+
+
 def test_suffix_tree_meets_figures_in_pieces(spark, tmp_path, monkeypatch):
     r = random.Random(6)
     docs = plain(spark, tmp_path, [" ".join(f"w{int(r.paretovariate(0.6)) % 60}" for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, ""])
